@@ -119,16 +119,23 @@ def hash_strings(words: pa.Array) -> np.ndarray:
     return np.fromiter((one(w) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[F.Column], out: str, spread: F.Column, buckets: int) -> DataFrame:
+def numbered(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df as a written table with a distinct number in each row: its partition in the upper bits, its place there in the lower 33."""
+    return materialise(df.withColumn(out, F.monotonically_increasing_id()), name)
+
+
+def ranked(df: DataFrame, keys: list[str], row: str, out: str) -> DataFrame:
     """A gapless number from 0 for the rows of each key, without gathering a key in one task.
 
-    Rows are dealt by (keys, bucket of spread); a row's number is its number there plus the sizes of the key's lower buckets.
+    df comes from numbered(); row is its number. Rows are dealt by (keys, partition of origin), so however many rows a key
+    has, a group is at most a partition of the written table; a row's number is its number there plus the counts of the
+    key's earlier partitions.
     """
     from pyspark.sql import Window
 
-    b, first, n = unique_name(df, "_bucket"), unique_name(df, "_first"), unique_name(df, "_n")
-    rows = df.withColumn(b, F.pmod(spread, F.lit(buckets)).cast("int"))
-    sizes = rows.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(n))
-    before = sizes.select(*keys, b, F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(first))
-    inside = rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)) - 1)
+    b, first, n = unique_name(df, "_part"), unique_name(df, "_first"), unique_name(df, "_n")
+    rows = df.withColumn(b, F.shiftright(row, 33).cast("int"))
+    counts = rows.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(n))
+    before = counts.select(*keys, b, F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(first))
+    inside = rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys, b).orderBy(row)) - 1)
     return inside.join(before, [*keys, b]).withColumn(out, (F.col(out) + F.col(first)).cast("long")).drop(b, first)

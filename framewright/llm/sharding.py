@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import crc32_text, ranked, table, unique_name
+from framewright.llm.common import crc32_text, numbered, ranked, table
 
 
 def rendezvous_shard(key: F.Column, weights: list[float]) -> F.Column:
@@ -39,12 +39,12 @@ def shard(df: DataFrame, key: str, weights: list[float], out: str = "shard") ->
     return df.withColumn(out, rendezvous_shard(F.col(key), weights))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, buckets: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """The manifest: for each row its size, text CRC, shard, place in the shard, and shard with one more shard.
 
     Null text: no bytes, so size 1. Null doc_id: a key of its own. Repeated rows share a shard and get places of their own.
-    Empty table: no rows. Other columns are not looked at. Places are numbered per (shard, bucket of the key), so no shard is
-    gathered in one task; copies of one row with one doc_id are told apart by place only.
+    Empty table: no rows. Other columns are not looked at. Places are counted per shard and partition, so no shard is gathered in one
+    task; equal rows are told apart by place only.
     """
     weights = [1.0] * shards
     rows = docs.select(
@@ -55,7 +55,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, buckets: int = 64) -> Data
         rendezvous_shard(F.col("doc_id"), weights).alias("shard"),
         rendezvous_shard(F.col("doc_id"), [*weights, 1.0]).alias("grown_shard"),
     )
-    out = ranked(rows, ["shard"], [F.col("doc_id"), F.col("text_crc32")], "slot", F.xxhash64("doc_id", "text_crc32"), buckets)
+    out = ranked(numbered(rows, "shards", "row"), ["shard"], "row", "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
