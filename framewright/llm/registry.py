@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm.sharding import op8_rendezvous_sharding
+from framewright.llm.tokenfst import op5_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_token_counts": op5_token_counts,
         "op8_rendezvous_sharding": op8_rendezvous_sharding,
     }
 
