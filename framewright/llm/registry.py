@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framewright.llm.packing import op6_packing
 from framewright.llm.sharding import op8_rendezvous_sharding
 from framewright.llm.tokenfst import op5_token_counts
 
@@ -13,6 +14,7 @@ from framewright.llm.tokenfst import op5_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_counts": op5_token_counts,
+        "op6_packing": op6_packing,
         "op8_rendezvous_sharding": op8_rendezvous_sharding,
     }
 
