@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm.packing import op6_packing
+from framewright.llm.quality import op9_quality_rules
 from framewright.llm.sharding import op8_rendezvous_sharding
 from framewright.llm.tokenfst import op5_token_counts
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
         "op8_rendezvous_sharding": op8_rendezvous_sharding,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
