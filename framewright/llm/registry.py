@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framewright.llm.htmlwrap import op10_html_wrappers
 from framewright.llm.packing import op6_packing
 from framewright.llm.quality import op9_quality_rules
 from framewright.llm.sharding import op8_rendezvous_sharding
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op8_rendezvous_sharding": op8_rendezvous_sharding,
         "op9_quality_rules": op9_quality_rules,
+        "op10_html_wrappers": op10_html_wrappers,
     }
 
 
