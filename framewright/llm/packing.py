@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from framewright.llm.common import by_bytes, filled, numbered, ranked, table
 
 WINDOW, END = 4096, 2
 #: Distinct words that a worker remembers before it starts afresh.
-CACHED = 1_500_000
+CACHED = 600_000
 
 
 class WordTokenizer:
@@ -60,21 +61,34 @@ class WordTokenizer:
                 whole.append(i)
         if len(self.known) > CACHED:
             self.known.clear()
-        new = sorted(set().union(*(w for w in words if w)).difference(self.known))
-        if new:
+        get, out, late = self.known.__getitem__, [b""] * len(texts), []
+        for i, w in enumerate(words):
+            if w:
+                try:
+                    out[i] = b"".join(map(get, w))
+                except KeyError:
+                    late.append(i)
+        if late:
+            new = sorted(set().union(*(words[i] for i in late)).difference(self.known))
             self.known.update(zip(new, self._library(new), strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, w)) if w is not None else b"" for w in words]
+            for i in late:
+                out[i] = b"".join(map(get, words[i]))
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, keep_ids: bool = False) -> DataFrame:
     """Each document's tokens, with the id end behind them, cut every window ids: doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, last = WordTokenizer(path), np.asarray([end], "<u4").tobytes()
+        tokenizer, last = word_tokenizer(path), np.asarray([end], "<u4").tobytes()
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 raw = filled(part.column("text")).cast(pa.large_binary()).to_pylist()
