@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import by_bytes, filled, table
 
 #: Code points handled at once; a chunk of the scan; entries that a worker's caches hold before they start afresh.
-SLICE, CHUNK, CACHED = 4 << 20, 1024, 2_000_000
+SLICE, CHUNK, CACHED = 4 << 20, 1024, 800_000
 
 # Symbols of the splitter. A1 and A2: an apostrophe with one or two more letters of a contraction behind it. Of white space:
 # LAST_SPACE and LAST_OTHER stand before something else, MORE before more white space or the end.
@@ -276,6 +276,12 @@ class TokenCounter:
         return out
 
 
+@lru_cache(maxsize=2)
+def token_counter(path: str) -> TokenCounter:
+    """One for all tasks of a worker."""
+    return TokenCounter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit for each row of docs.
 
@@ -285,10 +291,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
+        counter = token_counter(path)
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE):
-                counter = counter or TokenCounter(path)
                 raw = filled(part.column("text")).cast(pa.large_binary()).to_pylist()
                 tokens = counter.counts([b.decode("utf-8", "replace") for b in raw])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
