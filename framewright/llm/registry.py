@@ -11,10 +11,12 @@ from framewright.llm.packing import op6_packing
 from framewright.llm.quality import op9_quality_rules
 from framewright.llm.sharding import op8_rendezvous_sharding
 from framewright.llm.tokenfst import op5_token_counts
+from framewright.llm.toxicity import op4_toxicity_chain
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity_chain": op4_toxicity_chain,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
         "op8_rendezvous_sharding": op8_rendezvous_sharding,
