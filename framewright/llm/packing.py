@@ -8,7 +8,9 @@ pieces find theirs side by side.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,6 +25,8 @@ from framewright.llm.common import by_bytes, filled, numbered, ranked, table
 WINDOW, END = 4096, 2
 #: Distinct words that a worker remembers before it starts afresh.
 CACHED = 600_000
+#: Signs that may follow a word; none of them begins a piece of its own inside a run.
+SIGNS = ".,!?;:#*$%&|<>()[]"
 
 
 class WordTokenizer:
@@ -38,6 +42,11 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        # For words of letters only, which no normaliser or pattern would change or cut: the byte alphabet and the merges alone.
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.bare = Tokenizer.from_str(json.dumps(spec))
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -49,7 +58,27 @@ class WordTokenizer:
         return not any(c in text for c in "\x1c\x1d\x1e\x1fΣİ") and unicodedata.is_normalized("NFC", text)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._ids(self.library, texts)
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Words of letters go to the bare tokenizer, with signs behind them in two parts; others to the library."""
+        known, tails, rest = self.known, [], []
+        letters = set()
+        for w in new:
+            core = w.rstrip(SIGNS)
+            if core.isalpha():
+                letters.add(core)
+                if len(core) < len(w):
+                    tails.append((w, core, w[len(core) :]))
+            else:
+                rest.append(w)
+        for tokenizer, words in ((self.bare, sorted(letters.difference(known))), (self.library, sorted({*rest, *(t for _, _, t in tails)}.difference(known)))):
+            known.update(zip(words, self._ids(tokenizer, words), strict=True))
+        known.update((w, known[core] + known[tail]) for w, core, tail in tails)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words, whole = [], []
@@ -69,8 +98,7 @@ class WordTokenizer:
                 except KeyError:
                     late.append(i)
         if late:
-            new = sorted(set().union(*(words[i] for i in late)).difference(self.known))
-            self.known.update(zip(new, self._library(new), strict=True))
+            self._learn(set().union(*(words[i] for i in late)).difference(self.known))
             for i in late:
                 out[i] = b"".join(map(get, words[i]))
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
