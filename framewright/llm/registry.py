@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framewright.llm.chat import OP3_SQL, op3_perspective_rotation
+from framewright.llm.decontaminate import op1_template_decontamination
 from framewright.llm.htmlwrap import op10_html_wrappers
 from framewright.llm.packing import op6_packing
 from framewright.llm.quality import op9_quality_rules
@@ -16,6 +18,8 @@ from framewright.llm.toxicity import op4_toxicity_chain
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_template_decontamination": op1_template_decontamination,
+        "op3_perspective_rotation": op3_perspective_rotation,
         "op4_toxicity_chain": op4_toxicity_chain,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
@@ -26,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_perspective_rotation": OP3_SQL}
