@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framewright.llm.bloomlm import op7_bloom_lm
 from framewright.llm.chat import OP3_SQL, op3_perspective_rotation
 from framewright.llm.decontaminate import op1_template_decontamination
 from framewright.llm.htmlwrap import op10_html_wrappers
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity_chain": op4_toxicity_chain,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
+        "op7_bloom_lm": op7_bloom_lm,
         "op8_rendezvous_sharding": op8_rendezvous_sharding,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_wrappers": op10_html_wrappers,
