@@ -10,6 +10,7 @@ from framewright.llm.bloomlm import op7_bloom_lm
 from framewright.llm.chat import OP3_SQL, op3_perspective_rotation
 from framewright.llm.decontaminate import op1_template_decontamination
 from framewright.llm.htmlwrap import op10_html_wrappers
+from framewright.llm.jaccard import op2_ngram_jaccard_join
 from framewright.llm.packing import op6_packing
 from framewright.llm.quality import op9_quality_rules
 from framewright.llm.sharding import op8_rendezvous_sharding
@@ -20,6 +21,7 @@ from framewright.llm.toxicity import op4_toxicity_chain
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_template_decontamination": op1_template_decontamination,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_perspective_rotation": op3_perspective_rotation,
         "op4_toxicity_chain": op4_toxicity_chain,
         "op5_token_counts": op5_token_counts,
