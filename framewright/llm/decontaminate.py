@@ -28,18 +28,35 @@ NUM, NAMED, UNIT = "\ue000", "\ue001", "\ue002"
 UNITS = "km cm mm nm m kg mg g lb lbs oz l ml cl h hr hrs min mins s sec secs ms hz khz mhz ghz kb mb gb tb w kw mw v a ohm pa kpa bar k c f mph kmh percent pct usd eur gbp dollars dollar euros euro pounds pound cents cent meters meter metres metre kilometers kilometer kilometres kilometre miles mile feet foot inches inch yards yard grams gram kilograms kilogram tons ton liters liter litres litre gallons gallon hours hour minutes minute seconds second days day weeks week months month years year degrees degree".split()
 
 
-def templates(text: F.Column) -> tuple[F.Column, F.Column]:
-    """The words of a text's template (lower case, without signs), and the words that stand at the same places in the text.
+KEEP = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D"
+
+
+def split_kept(text: F.Column, more: str = "") -> F.Column:
+    """Words in lower case without signs; more: characters that stay, too."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, f"{KEEP}{more}]+", "")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def unmarked(text: F.Column) -> F.Column:
+    """The text without characters that would pass for placeholders."""
+    text = F.coalesce(text, F.lit(""))
+    some = F.contains(text, F.lit(NUM)) | F.contains(text, F.lit(NAMED)) | F.contains(text, F.lit(UNIT))
+    return F.when(some, F.regexp_replace(text, f"[{NUM}{NAMED}{UNIT}]", "")).otherwise(text)
+
+
+def template_words(text: F.Column) -> F.Column:
+    """The words of a text's template: lower case, without signs, with placeholders.
 
     A name is a capitalised word that doesn't begin a sentence; a unit is a unit's word behind a number.
     """
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUM}{NAMED}{UNIT}]", "")
-    t = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;)'])([\x20\x09-\x0D]+)\p{Lu}[\p{L}\p{M}'’-]*", f"$1{NAMED}")
+    t = F.regexp_replace(unmarked(text), r"(?<=[\p{L}\p{N},;)'])([\x20\x09-\x0D]+)\p{Lu}[\p{L}\p{M}'’-]*", f"$1{NAMED}")
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\d[\d.,:/]*", NUM)
-    t = F.regexp_replace(t, f"(?i){NUM}([\\x20\\x09-\\x0D]*)(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"{NUM}$1{UNIT}")
-    keep = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D"
-    words = lambda x, more="": F.filter(F.split(F.lower(F.regexp_replace(x, f"{keep}{more}]+", "")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return words(t, NUM + NAMED + UNIT), words(clean)
+    t = F.when(F.contains(t, F.lit(NUM)), F.regexp_replace(t, f"(?i){NUM}([\\x20\\x09-\\x0D]*)(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"{NUM}$1{UNIT}")).otherwise(t)
+    return split_kept(t, NUM + NAMED + UNIT)
+
+
+def raw_words(text: F.Column) -> F.Column:
+    """What stands in the text at the places of its template's words."""
+    return split_kept(unmarked(text))
 
 
 def is_slot(word: F.Column) -> F.Column:
@@ -58,8 +75,7 @@ def windows(template: F.Column, window: int, literals: int) -> F.Column:
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """item_id, ipos, h, slots (place in the window, value) and n_windows for each window of the benchmark."""
-    template, raw = templates(F.col("text"))
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").select("item_id", template.alias("t"), raw.alias("r"))
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").select("item_id", template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("r"))
     every, enough = windows(F.col("t"), window, literals)
     items = items.select("item_id", "t", "r", F.filter(F.coalesce(every, F.array().cast("array<struct<at:int,h:bigint>>")), enough).alias("w"))
     ks = F.array(*(F.lit(k) for k in range(window)))
@@ -71,26 +87,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     """doc_id, item_id, n_matched, n_windows, coverage, n_slots, n_changed for each item that a document holds.
 
     Null and empty texts, and texts or items of fewer words than a window, hold nothing. Items with equal texts are each reported.
-    Rows with one doc_id (null: one, too) are looked at together. Texts are read whole. Empty tables: no rows. Other columns are not read.
+    Rows with one doc_id and the same text are reported once; null ids are ids. Texts are read whole. Empty tables: no rows. Other columns are not read.
 
     The documents' windows meet the benchmark's where they are made, while the benchmark is small enough to broadcast; only
     matches are shuffled, by document and item, and a group holds an item's windows at most.
     """
     index = item_windows(benchmark, window, literals)
     size = index.count()
-    template, raw = templates(F.col("text"))
-    rows = docs.select("doc_id", "text").select("doc_id", template.alias("t"), raw.alias("r"))
+    near = size <= BROADCAST_ROWS
+    rows = docs.select("doc_id", "text").select("doc_id", "text", template_words(F.col("text")).alias("t"))
     every, _ = windows(F.col("t"), window, literals)
-    found = rows.select("doc_id", "r", F.explode(every).alias("x")).select("doc_id", "r", F.col("x.at").alias("pos"), F.col("x.h").alias("h"))
-    matched = found.join(F.broadcast(index) if size <= BROADCAST_ROWS else index, "h") if size <= BROADCAST_ROWS else found.select("doc_id", F.slice("r", F.col("pos"), window).alias("r"), F.lit(1).alias("pos"), "h").join(index, "h")
-    pairs = F.transform("slots", lambda s: F.struct(s["v"].alias("v"), F.coalesce(F.get(F.col("r"), F.col("pos") - 1 + s["k"]), F.lit("")).alias("d")))
-    matched = matched.select("doc_id", "item_id", "n_windows", "ipos", pairs.alias("pairs"))
-    held = matched.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.count_distinct("ipos").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    found = rows.select("doc_id", "text", F.explode(every).alias("x"))
+    hash_of = F.xxhash64("text").alias("th")  # texts that share an id are told apart
+    key = ["doc_id", "th", "item_id"]
+    match = F.struct("ipos", "pos", "slots").alias("m")
+    if near:
+        found = found.select("doc_id", "text", F.col("x.at").alias("pos"), F.col("x.h").alias("h")).join(F.broadcast(index), "h").select("doc_id", hash_of, "text", "item_id", "n_windows", match)
+        held = found.groupBy(*key).agg(F.max("n_windows").alias("n_windows"), F.collect_set("m").alias("m"), F.first("text").alias("text"))
+    else:
+        found = found.select("doc_id", hash_of, F.col("x.at").alias("pos"), F.col("x.h").alias("h")).join(index, "h").select("doc_id", "th", "item_id", "n_windows", match)
+        held = found.groupBy(*key).agg(F.max("n_windows").alias("n_windows"), F.collect_set("m").alias("m"))
+    held = held.withColumn("n_matched", F.size(F.array_distinct(F.transform("m", lambda x: x["ipos"]))).cast("long"))
     n = F.col("n_windows")
     least = F.when(n <= FEWEST, n).otherwise(F.least(F.lit(ENOUGH), F.greatest(F.lit(FEWEST), F.ceil(n * SHARE))))
     values = F.array_distinct(F.transform("pairs", lambda p: p["v"]))
     steady = F.size(F.filter("values", lambda v: F.size(F.filter("pairs", lambda p: p["v"] == v)) == 1))
-    held = held.where(F.col("n_matched") >= least).withColumn("values", values).withColumn("steady", steady)
+    held = held.where(F.col("n_matched") >= least)
+    if not near:
+        texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text").dropDuplicates(["_id", "_th"])
+        held = held.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    held = held.withColumn("r", raw_words(F.col("text")))
+    pairs = F.transform("m", lambda x: F.transform(x["slots"], lambda s: F.struct(s["v"].alias("v"), F.coalesce(F.get(F.col("r"), x["pos"] - 1 + s["k"]), F.lit("")).alias("d"))))
+    held = held.withColumn("pairs", F.array_distinct(F.flatten(pairs))).withColumn("values", values).withColumn("steady", steady)
     held = held.where(F.col("steady") >= CONSISTENT * F.size("values"))
     return held.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / n).alias("coverage"), F.size("values").cast("long").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["v"] != p["d"])).cast("long").alias("n_changed"))
 
