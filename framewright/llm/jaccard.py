@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import by_bytes, coded, filled, hash_strings, materialise, mix, row_of, split_words, table
+from framewright.llm.common import by_bytes, coded, filled, hash_strings, materialise, mix, row_of, split_words, table, unique_name
 
 SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.9995
 TREES, DEPTH = 32, 10
@@ -272,5 +272,13 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     return out.select("doc_id", "class_id", "copy_id", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class of join_similar(): that with the class's id. Rows with a null doc_id all stay; equal rows stay once."""
+    ids = join_similar(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    mark = unique_name(docs, "_text_hash")
+    some = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn(mark, F.xxhash64("text"))
+    return some.dropDuplicates(["doc_id", mark]).drop(mark).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(table(spark, sf_dir, "documents"))

@@ -213,6 +213,20 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = 0.4, decide: str
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, ", ".join([schema, *(f"p_{c} double" for c in chain.names), "toxic boolean"]))
 
 
+def filter_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.4, decide: str = "toxic") -> DataFrame:
+    """The rows of docs that classify() finds not toxic, with all their columns."""
+    shared, which = docs.sparkSession.sparkContext.broadcast(chain), chain.names.index(decide)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                texts = filled(part.column("text"))
+                empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
+                yield part.filter(pa.array((shared.value.predict(texts)[which] < threshold) | empty))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
