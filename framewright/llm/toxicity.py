@@ -23,6 +23,8 @@ from framewright.llm.common import by_bytes, coded, filled, row_of, split_words,
 #: Labelled documents that the chain is fitted on at most, in the order of a hash of their ids.
 SAMPLE = 16384
 BITS, KEPT, FOLDS = 20, 8192, 4
+#: Rejected from this probability on.
+THRESHOLD = 0.35
 #: Features with a lower chi-square against every category are noise.
 MIN_CHI = 15.0
 #: Lengths of the word beginnings that are features besides the whole word.
@@ -67,6 +69,36 @@ def probability(score: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
+def lbfgs(loss, w: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """The minimum of a convex loss (value and gradient), by limited-memory BFGS with backtracking."""
+    value, grad = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, kept = -grad, []
+        for s, y in reversed(past):
+            kept.append((s @ d) / (s @ y))
+            d = d - kept[-1] * y
+        if past:
+            s, y = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(past, reversed(kept), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        slope, step = grad @ d, 1.0 if past else 1.0 / max(1.0, float(np.abs(grad).sum()))
+        if slope > -1e-7:
+            break
+        while True:
+            new, new_grad = loss(w + step * d)
+            if new <= value + 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        if step < 1e-10:
+            break
+        if (step * d) @ (new_grad - grad) > 1e-12:
+            past = [*past[1 - memory :], (step * d, new_grad - grad)]
+        w, value, grad = w + step * d, new, new_grad
+    return w
+
+
 @dataclass
 class Linear:
     """Weights of the kept features (by place), of the dense inputs, and the bias."""
@@ -76,25 +108,22 @@ class Linear:
     bias: float
 
     @classmethod
-    def fit(cls, starts: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 120) -> Linear:
-        """Logistic regression with a ridge, by Nesterov's gradient steps; rows are in CSR form."""
+    def fit(cls, starts: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 60) -> Linear:
+        """Logistic regression with a ridge; rows are in CSR form."""
         row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        n, k = len(y), dense.shape[1]
-        base = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
-        w = np.zeros(width + k + 1)
+        n = len(y)
+        base = float(np.clip(y.mean(), 1e-4, 1 - 1e-4)) if n else 0.5
+        w = np.zeros(width + dense.shape[1] + 1)
         w[-1] = np.log(base / (1 - base))
-        # Scaled by feature frequency, so that rare words move as fast as frequent ones.
-        seen = np.concatenate([np.bincount(columns, minlength=width), np.full(k, n), [n]]).astype(np.float64)
-        rate = 1.0 / (0.25 * seen * (4 + np.median(np.diff(starts)) / 8) + l2)
-        v, t = w.copy(), 1.0
-        for _ in range(rounds):
+
+        def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
             score = np.bincount(row, v[columns], n) + dense @ v[width:-1] + v[-1]
             error = probability(score) - y
-            grad = np.concatenate([np.bincount(columns, error[row], width), dense.T @ error, [error.sum()]]) + l2 * np.append(v[:-1], 0.0)
-            new = v - rate * grad
-            t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-            v = new + (t - 1) / t_new * (new - w)
-            w, t = new, t_new
+            grad = np.concatenate([np.bincount(columns, error[row], width), dense.T @ error, [error.sum()]])
+            grad[:-1] += l2 * v[:-1]
+            return float(np.logaddexp(0, score).sum() - y @ score + 0.5 * l2 * (v[:-1] @ v[:-1])), grad
+
+        w = lbfgs(loss, w, rounds)
         return cls(w[:width], w[width:-1], float(w[-1]))
 
     def predict(self, starts: np.ndarray, columns: np.ndarray, dense: np.ndarray) -> np.ndarray:
@@ -190,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     return Chain.fit([c for c, _ in categories], starts - starts[0], lists.flatten().to_numpy().astype(np.int64), got.column("words").to_numpy(), labels_of)
 
 
-def classify(docs: DataFrame, chain: Chain, threshold: float = 0.4, decide: str = "toxic", keep: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, decide: str = "toxic", keep: list[str] | None = None) -> DataFrame:
     """docs (its columns keep, or all) with a probability p_<category> for each category and the boolean toxic; columns of docs by these names give way.
 
     Null and empty texts have no features, so the models' biases speak; they are never rejected. Texts are read whole. Repeated rows score alike. Empty table: no rows.
@@ -213,7 +242,7 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = 0.4, decide: str
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, ", ".join([schema, *(f"p_{c} double" for c in chain.names), "toxic boolean"]))
 
 
-def filter_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.4, decide: str = "toxic") -> DataFrame:
+def filter_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, decide: str = "toxic") -> DataFrame:
     """The rows of docs that classify() finds not toxic, with all their columns."""
     shared, which = docs.sparkSession.sparkContext.broadcast(chain), chain.names.index(decide)
 
