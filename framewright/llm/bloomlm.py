@@ -27,7 +27,9 @@ LEVELS = 40
 #: Counts of so many words at most (the most frequent) go to all workers exactly.
 HEAD = 1 << 18
 #: N-grams that a task holds before it passes them on.
-HELD = 3_000_000
+HELD = 2_000_000
+#: Bytes of text worked on at once.
+SLICE = 3 << 20
 #: Weight of the word's own probability beside the bigram's count.
 PRIOR = 300.0
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n", b" "))  # hashes of what is no word
@@ -165,7 +167,7 @@ def gather(docs: DataFrame, segments: int) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE):
                 offsets, tokens = token_hashes(filled(part.column("text")))
                 pairs, _ = bigrams(offsets, tokens)
                 for is_word, x in ((True, tokens), (False, pairs)):
@@ -231,7 +233,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: F.Column) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE):
                 offsets, tokens = token_hashes(filled(part.column("text")))
                 pairs, before = bigrams(offsets, tokens)
                 word, of_word = np.unique(tokens, return_inverse=True)
@@ -257,6 +259,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: F.Column) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<long>")
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "scores")
+    shared.unpersist()  # the scores are written
     tails = rows.select("_row", F.explode("tail").alias("h")).join(rare, "h")
     tails = tails.groupBy("_row").agg(F.count(F.lit(1)).alias("_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("_base"))
     out = rows.drop("tail").join(tails, "_row", "left")
