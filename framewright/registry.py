@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
 from framewright.catalog import ORACLES, QUERIES
-from framewright.operators import flow, merge
+from framewright.operators import flow, merge, timing
 
-__all__ = ["ORACLES", "QUERIES", "flow", "merge"]
+__all__ = ["ORACLES", "QUERIES", "flow", "merge", "timing"]
