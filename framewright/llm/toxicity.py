@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from framewright.llm.common import by_bytes, coded, filled, row_of, split_words, table
 
 #: Labelled documents that the chain is fitted on at most, in the order of a hash of their ids.
-SAMPLE = 16384
-BITS, KEPT, FOLDS = 20, 8192, 4
+SAMPLE = 8192
+#: KEPT features for each category at most.
+BITS, KEPT, FOLDS = 20, 600, 3
+#: Bytes of text worked on at once.
+SLICE = 2 << 20
 #: Rejected from this probability on.
 THRESHOLD = 0.35
 #: Features with a lower chi-square against every category are noise.
@@ -108,7 +111,7 @@ class Linear:
     bias: float
 
     @classmethod
-    def fit(cls, starts: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 60) -> Linear:
+    def fit(cls, starts: np.ndarray, columns: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40) -> Linear:
         """Logistic regression with a ridge; rows are in CSR form."""
         row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         n = len(y)
@@ -149,16 +152,17 @@ class Chain:
     def fit(cls, names: list[str], starts: np.ndarray, features: np.ndarray, words: np.ndarray, labels: np.ndarray, kept: int = KEPT, folds: int = FOLDS) -> Chain:
         """labels: [document, category], 0 or 1."""
         n = len(words)
-        row = np.repeat(np.arange(n), np.diff(starts))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
         seen = np.bincount(features, minlength=1 << BITS).astype(np.float64)
-        best = np.zeros(1 << BITS)
+        chosen = np.zeros(1 << BITS, bool)
         for y in labels.T:  # chi-square of presence against each category
-            hit = np.bincount(features, y[row], 1 << BITS)
+            hit = np.bincount(features[y[row] > 0], minlength=1 << BITS)
             p = y.mean() if n else 0.0
             if 0 < p < 1:
-                best = np.maximum(best, np.where(seen >= 3, (hit - seen * p) ** 2 / np.maximum(seen * p * (1 - p), 1e-9), 0.0))
-        top = np.sort(np.argsort(-best, kind="stable")[:kept])
-        top = top[best[top] >= MIN_CHI]
+                chi = np.where(seen >= 3, (hit - seen * p) ** 2 / np.maximum(seen * p * (1 - p), 1e-9), 0.0)
+                top = np.argsort(-chi, kind="stable")[:kept]
+                chosen[top[chi[top] >= MIN_CHI]] = True
+        top = np.flatnonzero(chosen)
         place = np.full(1 << BITS, -1, np.int64)
         place[top] = np.arange(len(top))
         use = place[features] >= 0
@@ -202,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE):
                 starts, features, words = document_features(filled(part.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(features, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(words), *(part.column(c) for c in names)], ["id", "features", "words", *names])
@@ -216,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     lists = got.column("features").chunk(0)
     starts = np.asarray(lists.offsets, np.int64)
     labels_of = np.column_stack([got.column(c).to_numpy() for c in names])
-    return Chain.fit([c for c, _ in categories], starts - starts[0], lists.flatten().to_numpy().astype(np.int64), got.column("words").to_numpy(), labels_of)
+    return Chain.fit([c for c, _ in categories], starts - starts[0], lists.flatten().to_numpy(), got.column("words").to_numpy(), labels_of)
 
 
 def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, decide: str = "toxic", keep: list[str] | None = None) -> DataFrame:
@@ -230,7 +234,7 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, decide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "_text"):
+            for part in by_bytes(batch, "_text", SLICE):
                 texts = filled(part.column("_text"))
                 p = shared.value.predict(texts)
                 empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
@@ -248,7 +252,7 @@ def filter_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE):
                 texts = filled(part.column("text"))
                 empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
                 yield part.filter(pa.array((shared.value.predict(texts)[which] < threshold) | empty))
