@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
 from framewright.catalog import ORACLES, QUERIES
-from framewright.operators import audio, flow, merge, pixels, tensor, timing
+from framewright.operators import audio, flow, media, merge, pixels, tensor, text, timing
 
-__all__ = ["ORACLES", "QUERIES", "audio", "flow", "merge", "pixels", "tensor", "timing"]
+__all__ = ["ORACLES", "QUERIES", "audio", "flow", "media", "merge", "pixels", "tensor", "text", "timing"]
