@@ -25,6 +25,8 @@ from framewright.llm.common import by_bytes, filled, numbered, ranked, table
 WINDOW, END = 4096, 2
 #: Distinct words that a worker remembers before it starts afresh.
 CACHED = 600_000
+#: Bytes of text worked on at once.
+SLICE = 3 << 20
 #: Signs that may follow a word; none of them begins a piece of its own inside a run.
 SIGNS = ".,!?;:#*$%&|<>()[]"
 
@@ -118,7 +120,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, last = word_tokenizer(path), np.asarray([end], "<u4").tobytes()
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE):
                 raw = filled(part.column("text")).cast(pa.large_binary()).to_pylist()
                 encoded = tokenizer.encode([b.decode("utf-8", "replace") for b in raw])
                 row, start, length, crc, total, ids = [], [], [], [], [], []
