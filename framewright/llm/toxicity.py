@@ -27,7 +27,7 @@ BITS, KEPT, FOLDS = 20, 600, 3
 #: Bytes of text worked on at once.
 SLICE = 2 << 20
 #: Rejected from this probability on.
-THRESHOLD = 0.35
+THRESHOLD = 0.25
 #: Features with a lower chi-square against every category are noise.
 MIN_CHI = 15.0
 #: Lengths of the word beginnings that are features besides the whole word.
