@@ -1,6 +1,8 @@
 """Imports every module that registers queries."""
 
 from framewright.catalog import ORACLES, QUERIES
-from framewright.operators import audio, flow, media, merge, pixels, tensor, text, timing
+from framewright.operators import audio, flow, media, merge, pixels, relational, tensor, text, timing
+from framewright.sources import synthetic
+from framewright.streaming import queries as streaming
 
-__all__ = ["ORACLES", "QUERIES", "audio", "flow", "media", "merge", "pixels", "tensor", "text", "timing"]
+__all__ = ["ORACLES", "QUERIES", "audio", "flow", "media", "merge", "pixels", "relational", "streaming", "synthetic", "tensor", "text", "timing"]
