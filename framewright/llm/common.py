@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python works on so many bytes of text at once, however long the rows of an Arrow batch are.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,22 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> It
     for i, j in zip(cuts, cuts[1:], strict=False):
         if j > i:
             yield batch.slice(i, j - i)
+    tidy()
+
+
+def tidy() -> None:
+    """Hand memory that is free back to the machine: workers outlive their tasks, and what one operator leaves lying the next can't use."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
 
 
 def filled(column: pa.Array) -> pa.Array:

@@ -24,7 +24,7 @@ from framewright.llm.common import by_bytes, filled, numbered, ranked, table
 
 WINDOW, END = 4096, 2
 #: Distinct words that a worker remembers before it starts afresh.
-CACHED = 600_000
+CACHED = 400_000
 #: Bytes of text worked on at once.
 SLICE = 3 << 20
 #: Signs that may follow a word; none of them begins a piece of its own inside a run.
