@@ -220,8 +220,8 @@ def d_multifilesink(spark, sf_dir):
 
 def greedy_segments(df: DataFrame, keys: list[str], limit_ns: int) -> DataFrame:
     """splitmuxsink and hlssink: a cut at the first key frame at or past the limit since the last cut. Only key frames' times are folded."""
-    cuts = df.where("keyframe").groupBy(*keys).agg(F.array_sort(F.collect_list("pts_ns")).alias("k"))
-    fold = F.aggregate("k", F.array().cast("array<long>"), lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1) + limit_ns), F.concat(acc, F.array(t))).otherwise(acc))
+    cuts = df.where("keyframe").groupBy(*keys).agg(F.array_sort(F.collect_list("pts_ns")).alias("_key_times"))
+    fold = F.aggregate("_key_times", F.array().cast("array<long>"), lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1) + limit_ns), F.concat(acc, F.array(t))).otherwise(acc))
     cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in keys), fold.alias("cuts"))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
     segment = F.size(F.filter("cuts", lambda c: c <= F.col("pts_ns"))).cast("long") - 1
