@@ -24,7 +24,7 @@ from framewright.llm.common import by_bytes, filled, numbered, ranked, table
 
 WINDOW, END = 4096, 2
 #: Distinct words that a worker remembers before it starts afresh.
-CACHED = 400_000
+CACHED, SHORT = 400_000, 6
 #: Bytes of text worked on at once.
 SLICE = 3 << 20
 #: Signs that may follow a word; none of them begins a piece of its own inside a run.
@@ -90,8 +90,10 @@ class WordTokenizer:
             else:
                 words.append(None)
                 whole.append(i)
-        if len(self.known) > CACHED:
-            self.known.clear()
+        if len(self.known) > CACHED:  # short words are the ones that come back
+            self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
+            if len(self.known) > CACHED // 2:
+                self.known.clear()
         get, out, late = self.known.__getitem__, [b""] * len(texts), []
         for i, w in enumerate(words):
             if w:
