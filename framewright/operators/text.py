@@ -35,7 +35,7 @@ def parse_blocks(df: DataFrame, key: str, document: Column) -> DataFrame:
     clean = F.regexp_replace(F.regexp_replace(document, "^﻿", ""), "\r\n?", "\n")
     blocks = df.select(key, F.posexplode(F.filter(F.split(clean, r"\n[ \t]*\n\s*"), lambda b: F.contains(b, F.lit("-->")))).alias("n", "block"))
     lines = blocks.withColumn("timing", F.regexp_extract("block", r"(?m)^(.*-->.*)$", 1)).withColumn("body", F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)", 1))
-    cues = lines.select(key, F.col("n").cast("long").alias("n"), stamp_ns(F.col("timing"), 1).alias("start_ns"), stamp_ns(F.col("timing"), 2).alias("end_ns"), F.rtrim(markup_free(F.col("body"))).alias("text"))
+    cues = lines.select(key, F.col("n").cast("long").alias("n"), stamp_ns(F.col("timing"), 1).alias("start_ns"), stamp_ns(F.col("timing"), 2).alias("end_ns"), F.regexp_replace(markup_free(F.col("body")), r"\s+$", "").alias("text"))
     return cues.where("start_ns IS NOT NULL AND end_ns IS NOT NULL")
 
 

@@ -260,3 +260,33 @@ def test_nothing_imports_the_optional_part():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"framewright\.llm|from framewright import llm", p.read_text()), p
+
+
+def test_pictures():
+    from framewright.functions import images
+
+    px = np.random.default_rng(0).integers(0, 256, (8, 12, 4), np.uint8)
+    px[..., 3] = 255
+    for fmt in ("RGBA", "BGRA", "RGB"):
+        assert (images.unpack(images.pack(px, fmt), fmt, 12, 8) == px).all()
+    grey = np.dstack([np.full((8, 12), 90, np.uint8)] * 3 + [np.full((8, 12), 255, np.uint8)])
+    for fmt, size in (("NV12", 144), ("I420", 144), ("YUYV", 192)):
+        data = images.pack(grey, fmt)
+        assert len(data) == size and np.abs(images.unpack(data, fmt, 12, 8).astype(int) - grey).max() <= 2
+    assert (images.scale(px, 12, 8) == px).all() and images.scale(px, 5, 3).shape == (3, 5, 4)
+    assert (images.over(px, px, 0, 0) == px).all() and (images.over(px, px, 50, 0) == px).all()
+    assert images.clock_text(3_723_004_000_000) == "01:02:03.004"
+    mask = images.mask_of(np.array([1.0]), np.full((1, 4, 5), -9.0), 0.5)
+    assert images.mask_bounds(mask) is None
+    mask[1:3, 2] = True
+    assert images.mask_bounds(mask) == (2, 1, 1, 2)
+
+
+def test_adpcm_and_fir():
+    from framewright.operators import host
+
+    x = np.round(8000 * np.sin(np.arange(400) / 20))
+    back = host.adpcm_decode(host.adpcm_encode(x))
+    assert np.sqrt(np.mean((back[50:] - x[50:]) ** 2)) < 200
+    y = host.fir_resampled(x, 3, 2)
+    assert len(y) == 600 and np.abs(y[100:500] - 8000 * np.sin(np.arange(100, 500) * 2 / 3 / 20)).max() < 60
