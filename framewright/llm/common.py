@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python works on so many bytes of text at once, however long the rows of an Arrow batch are.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ WINDOW, END = 4096, 2
 #: Distinct words that a worker remembers before it starts afresh.
 CACHED, SHORT = 400_000, 6
 #: Bytes of text worked on at once.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Signs that may follow a word; none of them begins a piece of its own inside a run.
 SIGNS = ".,!?;:#*$%&|<>()[]"
 

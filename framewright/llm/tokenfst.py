@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import by_bytes, filled, table
 
 #: Code points handled at once; a chunk of the scan; entries that a worker's caches hold before they start afresh.
-SLICE, CHUNK, CACHED = 4 << 20, 1024, 800_000
+SLICE, CHUNK, CACHED = 2 << 20, 1024, 800_000
 
 # Symbols of the splitter. A1 and A2: an apostrophe with one or two more letters of a contraction behind it. Of white space:
 # LAST_SPACE and LAST_OTHER stand before something else, MORE before more white space or the end.

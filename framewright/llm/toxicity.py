@@ -25,7 +25,7 @@ SAMPLE = 8192
 #: KEPT features for each category at most.
 BITS, KEPT, FOLDS = 20, 600, 3
 #: Bytes of text worked on at once.
-SLICE = 2 << 20
+SLICE = 3 << 19
 #: Rejected from this probability on.
 THRESHOLD = 0.25
 #: Features with a lower chi-square against every category are noise.
