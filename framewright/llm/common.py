@@ -54,8 +54,22 @@ def crc32_text(c) -> F.Column:
     return F.crc32(F.encode(F.coalesce(c, F.lit("")), "UTF-8"))
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of about limit bytes of the column; a longer value is a slice of its own."""
+#: What a worker keeps for the operator that it works for.
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """make()'s value, made once in a worker and kept until the worker turns to another operator."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about limit bytes of the column; a longer value is a slice of its own. keep: the caller uses what is kept()."""
+    if not keep:
+        _kept.clear()
     n = batch.num_rows
     if not n:
         return

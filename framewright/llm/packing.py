@@ -13,18 +13,17 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import by_bytes, filled, numbered, ranked, table
+from framewright.llm.common import by_bytes, filled, kept, numbered, ranked, table
 
 WINDOW, END = 4096, 2
 #: Distinct words that a worker remembers before it starts afresh.
-CACHED, SHORT = 400_000, 6
+CACHED, SHORT = 600_000, 8
 #: Bytes of text worked on at once.
 SLICE = 2 << 20
 #: Signs that may follow a word; none of them begins a piece of its own inside a run.
@@ -110,19 +109,13 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One for all tasks of a worker."""
-    return WordTokenizer(path)
-
-
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, keep_ids: bool = False) -> DataFrame:
     """Each document's tokens, with the id end behind them, cut every window ids: doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, last = word_tokenizer(path), np.asarray([end], "<u4").tobytes()
+        tokenizer, last = kept(f"words {path}", lambda: WordTokenizer(path)), np.asarray([end], "<u4").tobytes()
         for batch in batches:
-            for part in by_bytes(batch, "text", SLICE):
+            for part in by_bytes(batch, "text", SLICE, keep=True):
                 raw = filled(part.column("text")).cast(pa.large_binary()).to_pylist()
                 encoded = tokenizer.encode([b.decode("utf-8", "replace") for b in raw])
                 row, start, length, crc, total, ids = [], [], [], [], [], []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import by_bytes, filled, table
+from framewright.llm.common import by_bytes, filled, kept, table
 
 #: Code points handled at once; a chunk of the scan; entries that a worker's caches hold before they start afresh.
 SLICE, CHUNK, CACHED = 2 << 20, 1024, 800_000
@@ -276,12 +276,6 @@ class TokenCounter:
         return out
 
 
-@lru_cache(maxsize=2)
-def token_counter(path: str) -> TokenCounter:
-    """One for all tasks of a worker."""
-    return TokenCounter(path)
-
-
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit for each row of docs.
 
@@ -291,9 +285,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = token_counter(path)
+        counter = kept(f"counts {path}", lambda: TokenCounter(path))
         for batch in batches:
-            for part in by_bytes(batch, "text", SLICE):
+            for part in by_bytes(batch, "text", SLICE, keep=True):
                 raw = filled(part.column("text")).cast(pa.large_binary()).to_pylist()
                 tokens = counter.counts([b.decode("utf-8", "replace") for b in raw])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
