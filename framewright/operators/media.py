@@ -263,3 +263,42 @@ def u_fec_recover(spark, sf_dir):
     parity = f.groupBy("set").agg(F.bit_xor("byte").alias("parity"), F.bit_xor(F.when(lost, 0).otherwise(F.col("byte"))).alias("rest"), F.max(F.when(lost, F.struct("user_id", "sequence"))).alias("gone"))
     back = parity.where("gone IS NOT NULL").select("gone.user_id", F.col("gone.sequence").alias("event_id"), F.col("parity").bitwiseXOR(F.col("rest")).alias("byte"))
     return f.where(~lost).select("user_id", F.col("sequence").alias("event_id"), "byte").unionByName(back)
+
+
+# --- captions in access units ---------------------------------------------------------------------------------------------------------------
+
+
+@query("q_ccextract", "SELECT user_id, event_id, 'U' || user_id || ' e' || (event_id % 1000) AS text FROM events WHERE event_id % 20 = 0")
+def q_ccextract(spark, sf_dir):
+    """Captions written into access units' SEI, taken out again and decoded: a fold over each stream's pairs in the order of time."""
+    from framewright.functions import captions
+
+    def insert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            text = [f"U{u} e{s % 1000}" for u, s in zip(b["user_id"], b["sequence"], strict=True)]
+            yield b.assign(payload=[captions.caption_sei(captions.encode_608(t)) + b"\0\0\0\x01\x65\x88" for t in text])
+
+    def extract(g: pd.DataFrame) -> pd.DataFrame:
+        pairs, at = [], {}
+        for i, (s, p) in enumerate(g.sort_values("sequence")[["sequence", "payload"]].itertuples(index=False)):
+            at[i] = s
+            pairs += [(i, x, y) for x, y in captions.caption_pairs(bytes(p))]
+        cues = list(captions.decode_608(pairs))
+        return pd.DataFrame({"user_id": g["user_id"].iloc[0], "event_id": [at[c[0]] for c in cues], "text": [c[2] for c in cues]})
+
+    f = frames(spark, sf_dir).where("sequence % 20 = 0").select("user_id", "sequence")
+    units = f.mapInPandas(insert, "user_id long, sequence long, payload binary")
+    return units.groupBy("user_id").applyInPandas(extract, "user_id long, event_id long, text string")
+
+
+@query("q_misp_sei", "SELECT event_id, epoch_us(ts) AS us FROM events")
+def q_misp_sei(spark, sf_dir):
+    """Microsecond times written into access units and read back."""
+    from framewright.functions import captions
+
+    def trip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"event_id": b["event_id"], "us": [captions.misp_time(captions.misp_sei(int(u)) + b"\0\0\0\x01\x65\x88") for u in b["us"]]})
+
+    e = table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return e.mapInPandas(trip, "event_id long, us long")

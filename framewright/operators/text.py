@@ -111,7 +111,7 @@ def parse_sdp(df: DataFrame, key: str, document: Column) -> DataFrame:
     return sections.select(key, F.col("n").cast("long").alias("n"), part(1).alias("media"), part(2).cast("int").alias("port"), part(3).cast("int").alias("payload_type"), rtpmap(1).alias("encoding"), rtpmap(2).cast("int").alias("clock"))
 
 
-@query("q_sdp", "SELECT s_suppkey AS key, n, CASE n WHEN 0 THEN 'video' ELSE 'audio' END AS media, CAST(5000 + s_suppkey % 100 + n AS INTEGER) AS port, CAST(96 + n AS INTEGER) AS payload_type, CASE n WHEN 0 THEN 'H264' ELSE 'opus' END AS encoding, CAST(CASE n WHEN 0 THEN 90000 ELSE 48000 END AS INTEGER) AS clock FROM supplier, (VALUES (0), (1)) v(n)")
+@query("q_sdp", "SELECT s_suppkey AS key, CAST(n AS BIGINT) AS n, CASE n WHEN 0 THEN 'video' ELSE 'audio' END AS media, CAST(5000 + s_suppkey % 100 + n AS INTEGER) AS port, CAST(96 + n AS INTEGER) AS payload_type, CASE n WHEN 0 THEN 'H264' ELSE 'opus' END AS encoding, CAST(CASE n WHEN 0 THEN 90000 ELSE 48000 END AS INTEGER) AS clock FROM supplier, (VALUES (0), (1)) v(n)")
 def q_sdp(spark, sf_dir):
     port = (5000 + F.col("s_suppkey") % 100).cast("string")
     next_port = (5001 + F.col("s_suppkey") % 100).cast("string")

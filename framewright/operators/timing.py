@@ -124,7 +124,7 @@ def u_control_curve(spark, sf_dir):
     return df.select("sequence", F.round("linear", 6).alias("linear"), "step")
 
 
-@query("u_latency_fold", f"WITH {FRAMES_SQL} SELECT user_id, bool_or(stream = 'error') AS live, sum(sequence % 100) AS min_ms, CASE WHEN count(CASE WHEN stream <> 'signup' THEN 1 END) < count(*) THEN NULL ELSE sum(sequence % 1000) END AS max_ms FROM frames GROUP BY user_id")
+@query("u_latency_fold", f"WITH {FRAMES_SQL} SELECT user_id, bool_or(stream = 'error') AS live, CAST(sum(sequence % 100) AS BIGINT) AS min_ms, CASE WHEN count(CASE WHEN stream <> 'signup' THEN 1 END) < count(*) THEN NULL ELSE CAST(sum(sequence % 1000) AS BIGINT) END AS max_ms FROM frames GROUP BY user_id")
 def u_latency_fold(spark, sf_dir):
     """Live if any is; least latencies add up; an unknown greatest latency makes the sum unknown."""
     most = F.when(F.col("stream") != "signup", F.col("sequence") % 1000)

@@ -290,3 +290,29 @@ def test_adpcm_and_fir():
     assert np.sqrt(np.mean((back[50:] - x[50:]) ** 2)) < 200
     y = host.fir_resampled(x, 3, 2)
     assert len(y) == 600 and np.abs(y[100:500] - 8000 * np.sin(np.arange(100, 500) * 2 / 3 / 20)).max() < 60
+
+
+def test_captions():
+    from framewright.functions import captions
+
+    pairs = [(i, a, b) for i, t in enumerate(["Hello\nñ 2", "Bye"]) for a, b in captions.encode_608(t)]
+    assert list(captions.decode_608(pairs)) == [(0, 1, "Hello\nñ 2"), (1, None, "Bye")]
+    noisy = [(n, a ^ 128, b) if i == 3 else (n, a, b) for i, (n, a, b) in enumerate(pairs)]
+    assert list(captions.decode_608(noisy))[0][2] != "Hello\nñ 2"
+    unit = captions.misp_sei(0x0000000100000203) + captions.caption_sei(captions.encode_608("x")) + b"\0\0\0\x01\x65\x88"
+    assert captions.misp_time(unit) == 0x0000000100000203 and captions.caption_pairs(unit) == captions.encode_608("x")
+    row = bytearray(captions.teletext_row(8, 20, "Subtitle"))
+    row[0] ^= 4
+    assert captions.read_teletext_row(bytes(row)) == (8, 20, "Subtitle")
+    row[0] ^= 8
+    assert captions.read_teletext_row(bytes(row)) is None
+
+
+def test_subpictures():
+    from framewright.functions import captions
+
+    rng = np.random.default_rng(0)
+    lines = np.repeat(rng.integers(0, 4, (6, 30)), rng.integers(1, 30, 30), axis=1).astype(np.uint8)
+    assert (captions.dvd_runs(captions.dvd_pack(lines), lines.shape[1], 6) == lines).all()
+    assert (captions.pgs_runs(captions.pgs_pack(lines), lines.shape[1], 6) == lines).all()
+    assert captions.canvas(lines, {1: (9, 8, 7, 255)})[lines == 1].tolist()[0] == [9, 8, 7, 255]
