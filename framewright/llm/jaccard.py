@@ -25,6 +25,8 @@ SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.9995
 TREES, DEPTH = 32, 10
 #: A tile has about so many members or bytes of text from either side at most.
 TILE, TILE_BYTES = 512, 4 << 20
+#: The numbers of tiles go to all tasks up to so many blocks (16 bytes each), else they are joined.
+BROADCAST_ROWS = 500_000
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
@@ -252,9 +254,13 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     member = prefixes.join(shared, ["tree", "key"]).groupBy("rep").agg(F.collect_set("block").alias("blocks"))
     member = materialise(member.join(classes.select("rep", "copies", "n_bytes"), "rep"), "members")
     in_block = member.select("rep", "copies", "n_bytes", "blocks", F.explode("blocks").alias("block"))
+    # Only blocks of several tiles need their number known: at most one for each TILE members or TILE_BYTES.
     sizes = in_block.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n_bytes") / TILE_BYTES)).cast("long").alias("tiles"))
-    tile = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-    placed = in_block.join(sizes, "block").withColumn("own", tile)
+    sizes = materialise(sizes.where("tiles > 1"), "tiles")
+    if sizes.count() <= BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
+    placed = in_block.join(sizes, "block", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(F.col("own") <= k, 0).otherwise(1).alias("side")))
     placed = placed.withColumn("x", F.explode(others)).select("block", "rep", "copies", "blocks", "x.i", "x.j", "x.side")
     texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("_text")).join(member.select("rep"), "rep", "left_semi")
