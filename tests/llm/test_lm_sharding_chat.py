@@ -114,3 +114,12 @@ def test_rotation(spark):
     assert dialogue.startswith("<|im_start|>system\nbe nice<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\nyo 🎉<|im_end|>\n")
     assert dialogue.endswith("<|im_start|>user name=cat\nlate<|im_end|>\n") and len(seen[1, "bob"]) == 6
     assert chat.rotate(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_op8_over_the_whole_table(spark, small):
+    docs = {r.doc_id: r.text for r in table(spark, small, "documents").collect()}
+    out = sharding.op8_rendezvous_sharding(spark, small).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law) for r in out} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode()), "key") for i, t in docs.items()}
+    assert all(r.grown_shard in (r["shard"], 8) for r in out)
+    for s in range(8):
+        assert sorted(r.slot for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))

@@ -98,3 +98,20 @@ def test_odd_documents(spark):
 @pytest.mark.parametrize("word,like", [("Idiot,", "idiot"), ("%%%fool!", "fool"), ("***", None)])
 def test_word_features(word, like):
     assert toxicity.word_features(word) == (toxicity.word_features(like) if like else [])
+
+
+def test_op9_over_the_whole_table(spark, small):
+    docs = {r.doc_id: r.text for r in table(spark, small, "documents").collect()}
+    got = quality.op9_quality_rules(spark, small).collect()
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got} == {i: brute(t) for i, t in docs.items()}
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in got)
+
+
+def test_copies_do_not_narrow_the_bands(spark, medium):
+    """A third of all rows copies of one document: the others are kept as before."""
+    docs = table(spark, medium, "documents").select("doc_id", "text", "lang")
+    before = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+    first = docs.where(docs.doc_id == min(before))
+    more = docs.unionByName(first.crossJoin(spark.range(500)).selectExpr("1000000 + id as doc_id", "text", "lang"))
+    after = {r.doc_id for r in quality.judge(more).where("kept AND doc_id < 1000000").collect()}
+    assert len(before - after) <= 0.01 * len(before)

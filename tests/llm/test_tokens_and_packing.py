@@ -133,3 +133,17 @@ def test_least_squares_fit_falls():
         for length in c:
             fitted[length] += n
     assert (x >= 0).all() and np.linalg.norm(fitted - histogram) < 0.35 * np.linalg.norm(histogram)
+
+
+def test_op5_over_the_whole_table(spark, small):
+    lib = Tokenizer.from_file(BYTES)
+    docs = {r.doc_id: r.text for r in table(spark, small, "documents").collect()}
+    got = tokenfst.op5_token_counts(spark, small).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in got} == {i: (len(t.encode()), n := len(lib.encode(t, add_special_tokens=False).ids), n > 512) for i, t in docs.items()}
+
+
+def test_workers_keep_one_operators_things():
+    from framewright.llm import common
+
+    assert common.kept("a", lambda: 1) == 1 and common.kept("a", lambda: 2) == 1
+    assert common.kept("b", lambda: 3) == 3 and common.kept("a", lambda: 4) == 4
