@@ -316,3 +316,14 @@ def test_subpictures():
     assert (captions.dvd_runs(captions.dvd_pack(lines), lines.shape[1], 6) == lines).all()
     assert (captions.pgs_runs(captions.pgs_pack(lines), lines.shape[1], 6) == lines).all()
     assert captions.canvas(lines, {1: (9, 8, 7, 255)})[lines == 1].tolist()[0] == [9, 8, 7, 255]
+
+
+def test_rtcp():
+    from framewright.functions import rtcp
+
+    block = {"ssrc": 7, "fraction": 12, "lost": -3, "highest": 70_000, "jitter": 5, "last_sr": 9, "delay": 65536}
+    data = rtcp.sender_report(1, rtcp.ntp_of(1_700_000_000_123_456_789), 1 << 32 | 5, 2, 3, [block]) + bytes([0x81, 203, 0, 1, 0, 0, 0, 9])
+    first, second = rtcp.parse_compound(data + b"\x80\xc8")
+    assert first["blocks"] == [block] and (first["kind"], first["rtp_ts"], first["packets"]) == ("SR", 5, 2)
+    assert (second["kind"], second["ssrc"]) == ("BYE", 9)
+    assert abs(rtcp.unix_of(first["ntp"]) - 1_700_000_000_123_456_789) <= 1
