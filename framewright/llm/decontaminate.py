@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import table
+from framewright.llm.common import materialise, table
 
 WINDOW = 5
 #: A window needs so many words that are no placeholders.
@@ -21,6 +21,8 @@ SHARE, FEWEST, ENOUGH = 0.5, 3, 8
 CONSISTENT = 0.75
 #: The benchmark's windows are broadcast up to so many rows (of some 200 bytes), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: The ids of documents to drop are broadcast up to so many (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 # Placeholders: private-use characters, taken out of all texts first.
 NUM, NAMED, UNIT = "\ue000", "\ue001", "\ue002"
@@ -125,7 +127,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
-    ids = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+    ids = materialise(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    if ids.count() <= BROADCAST_IDS:  # else both sides are shuffled
+        ids = F.broadcast(ids)
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
 
 
