@@ -264,15 +264,22 @@ def biquad(x: np.ndarray, c: tuple[float, float, float, float, float]) -> np.nda
     return out
 
 
+def in_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each key: its samples' n and s as arrays, in the order of n."""
+    x = F.array_sort(F.collect_list(F.struct("n", F.col("s").cast("double").alias("s"))))
+    return df.groupBy(*keys).agg(x.alias("_x")).select(*keys, F.transform("_x", lambda v: v["n"]).alias("n"), F.transform("_x", lambda v: v["s"]).alias("s"))
+
+
 def per_stream(df: DataFrame, keys: list[str], f) -> DataFrame:
-    """f over each key's samples in the order of n; for recurrences that span a whole stream, whose length bounds the task."""
+    """f over each key's samples in the order of n; for recurrences that span a whole stream, whose length bounds the task. Many short streams share an Arrow batch."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("n", kind="stable")
-        return g.assign(s=f(g["s"].to_numpy(float)))[[*keys, "n", "s"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(s=[f(np.asarray(s, float)) for s in b["s"]])
 
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, "n", F.col("s").cast("double").alias("s")).groupBy(*keys).applyInPandas(run, f"{schema}, n long, s double")
+    out = in_order(df, keys).mapInPandas(run, f"{schema}, n array<long>, s array<double>")
+    return out.select(*keys, F.explode(F.arrays_zip("n", "s")).alias("x")).select(*keys, "x.n", "x.s")
 
 
 @query("j_echo_feedback")

@@ -115,22 +115,22 @@ def m_ogg(spark, sf_dir):
 
 def wav_files(df: DataFrame, key: str, rate: int) -> DataFrame:
     """key, payload: 16-bit mono samples (n, s) of each key as a WAVE file."""
+    from framewright.operators.audio import in_order
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        s = g.sort_values("n", kind="stable")["s"].to_numpy().astype("<i2").tobytes()
-        return pd.DataFrame({key: [g[key].iloc[0]], "payload": [containers.write_wav(s, 1, rate)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "payload": [containers.write_wav(np.asarray(s).astype("<i2").tobytes(), 1, rate) for s in b["s"]]})
 
-    return df.groupBy(key).applyInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, payload binary")
+    return in_order(df, [key]).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, payload binary")
 
 
 def wav_samples(df: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, p in zip(b[key], b["payload"], strict=True):
-                s = np.frombuffer(containers.read_wav(bytes(p))[3], "<i2").astype(np.int64)
-                yield pd.DataFrame({key: k, "n": np.arange(1, len(s) + 1), "s": s})
+            yield pd.DataFrame({key: b[key], "s": [np.frombuffer(containers.read_wav(bytes(p))[3], "<i2").astype(np.int64) for p in b["payload"]]})
 
-    return df.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n long, s long")
+    out = df.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, s array<long>")
+    return out.select(key, F.posexplode("s").alias("n", "s")).select(key, (F.col("n") + 1).cast("long").alias("n"), "s")
 
 
 @query("m_wav", "SELECT l_orderkey AS buffer, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, (l_partkey * 7919 + l_suppkey * 104729) % 65536 - 32768 AS s FROM lineitem WHERE l_orderkey % 10 = 0")

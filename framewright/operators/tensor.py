@@ -12,13 +12,17 @@ def embeddings(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def softmax(v: Column) -> Column:
     """Probabilities of an array of logits; an empty array or one with a value that isn't finite is an error."""
-    v = F.transform(v, lambda x: x.cast("double"))
     bad = (F.size(v) == 0) | F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.when(bad, F.raise_error(F.lit("logits must be finite")).cast("array<double>")).otherwise(F.transform(e, lambda x: x / total))
+    shares = lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    out = let(F.array_max(v).cast("double"), lambda top: let(F.transform(v, lambda x: F.exp(x.cast("double") - top)), shares))
+    return F.when(bad, F.raise_error(F.lit("logits must be finite")).cast("array<double>")).otherwise(out)
 
 
 def argmax(v: Column) -> Column:
