@@ -23,7 +23,7 @@ from framewright.llm.common import by_bytes, filled, kept, numbered, ranked, tab
 
 WINDOW, END = 4096, 2
 #: Distinct words that a worker remembers before it starts afresh.
-CACHED, SHORT = 600_000, 8
+CACHED, SHORT = 1_000_000, 8
 #: Bytes of text worked on at once.
 SLICE = 2 << 20
 #: Signs that may follow a word; none of them begins a piece of its own inside a run.
