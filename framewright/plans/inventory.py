@@ -6,9 +6,11 @@ from __future__ import annotations
 NETWORK_SOURCES = "dashsrc hlssrc httpsrc livekitsrc localcudasrc dmabufsrc moqtsessionsrc moqtsrc onvifsrc remotesrc remotewssrc remotewtsrc rtmpsrc rtspserversrc rtspserversrcn rtspsrc srtsrc st2110ancsrc st2110audiosrc st2110jxssrc st2110videosrc udpsrc webrtcdatasrc webrtcsrc webrtcwhepsessionsrc websocketsrc".split()
 CAPTURE_DEVICES = "aaudiosrc alsasrc avfvideosrc avfaudiosrc camera2src coreaudiosrc libcamerasrc mfvideosrc pipewiresrc pipewirevideosrc pulsesrc screencapturesrc v4l2src wasapisrc webcamerasrc".split()
 NETWORK_SINKS = "livekitduplex livekitsink localcudasink dmabufsink moqtsink remotesink remotewssink rtmpsink rtspserversink srtsink st2110ancsink st2110audiosink st2110jxssink st2110videosink udpsink webrtcdatasink webrtcduplexsession webrtcsessionsink webrtcsink websocketsink".split()
-PRESENTATION = "aaudiosink alsasink canvassink coreaudiosink cudaglsink cudakmssink d3d11sink glimagesink kmssink metalvideosink pipewiresink pulsesink wasapisink waylandsink".split()
-CODECS = "ffmpegdec vulkanvideodec dav1ddec rav1ddec opusdec flacdec vp8dec vp9dec ffmpegenc rav1enc opusenc vp8enc vp9enc flacenc mjpegdec mjpegenc webpdec jpegxsdec jpegxsenc".split()
-MEMORY_BRIDGES = "cudaupload cudadownload gpuupload gpudownload dmabufexport dmabufimport".split()
+PRESENTATION = "aaudiosink alsasink canvassink coreaudiosink cudaglsink cudakmssink d3d11sink glimagesink kmssink metalvideosink pipewiresink pulsesink wasapisink waylandsink vulkanhdrpresentsink webgpucanvassink wgpupresentsink wgpusink".split()
+CODECS = "dav1ddec rav1ddec ffmpegaudiodec ffmpegdec mediacodecdec nvdec opusdec jpegxsdec vaapidec vaapidech265 vorbisdec vtdec vtdech265 vulkanvideodec mjpegdec webpdec av1enc avenc_aac ffmpegenc x264enc mediacodecenc nvenc opusenc jpegxsenc vpxenc vtenc_h264 vtenc_h265 mjpegenc".split()
+MEMORY_BRIDGES = "cudaupload cudadownload cudatowgpu wgputocuda dmabuftowgpu wgputodmabuf".split()
+PERIPHERALS = "pcmsink rtpsink sht3xsrc spidisplaysink uartsink uartsrc".split()
+REMOTE_STEPS = "remotewstransform wswiretransform".split()
 BOUNDARY: dict[str, str] = {
     name: kind
     for kind, names in (
@@ -18,6 +20,8 @@ BOUNDARY: dict[str, str] = {
         ("presentation device", PRESENTATION),
         ("codec", CODECS),
         ("bridge between memories", MEMORY_BRIDGES),
+        ("peripheral", PERIPHERALS),
+        ("remote step", REMOTE_STEPS),
     )
     for name in names
 }
