@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.catalog import query, table
-from framewright.functions import containers
+from framewright.functions import containers, parsers
 from framewright.schema import DAY_NS, frames
 
 READERS: dict[str, Callable[[bytes], Iterator[containers.Packet]]] = {
@@ -22,6 +22,8 @@ READERS: dict[str, Callable[[bytes], Iterator[containers.Packet]]] = {
     "fmp4": containers.read_fmp4,
     "h264": containers.h264_access_units,
     "aac": containers.adts_frames,
+    "mp4": parsers.read_mp4,
+    "mpegps": parsers.read_ps,
 }
 
 

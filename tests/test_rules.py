@@ -327,3 +327,25 @@ def test_rtcp():
     assert first["blocks"] == [block] and (first["kind"], first["rtp_ts"], first["packets"]) == ("SR", 5, 2)
     assert (second["kind"], second["ssrc"]) == ("BYE", 9)
     assert abs(rtcp.unix_of(first["ntp"]) - 1_700_000_000_123_456_789) <= 1
+
+
+def test_parsers():
+    from framewright.functions import parsers
+
+    samples = [(i * 100_000_000, i % 3 == 0, bytes([i]) * (i + 1)) for i in range(9)]
+    data = parsers.write_mp4(samples)
+    assert [(ns, k, p) for _, _, ns, k, p in parsers.read_mp4(data)] == samples
+    assert list(parsers.read_mp4(data[:60])) == []
+    obu = lambda kind, body: bytes([kind << 3 | 2, len(body)]) + body
+    units = list(parsers.av1_temporal_units(obu(2, b"") + obu(1, b"seq") + obu(6, b"f") + obu(2, b"") + obu(6, b"g")))
+    assert [[k for k, _ in u] for u in units] == [[2, 1, 6], [2, 6]]
+    size = (0 << 44) | (639 << 28) | (359 << 12)
+    assert parsers.vp9_key_frame(b"\x80\x49\x83\x42" + size.to_bytes(6, "big")) == (True, 640, 360)
+    pes = b"\0\0\x01\xe0" + (3 + 5 + 4).to_bytes(2, "big") + b"\x80\x80\x05\x21\x00\x01\x00\x01abcd"
+    pack = b"\0\0\x01\xba\x44" + b"\0" * 8 + b"\xf8"
+    assert list(parsers.read_ps(pack + pes + b"\0\0\x01\xb9")) == [(0xE0, "video", 0, False, b"abcd")]
+    s = np.arange(-32768, 32768, 7)
+    back = parsers.alaw_decode(parsers.alaw_encode(s))
+    assert np.abs(back - s).max() <= 1024 and (np.abs(back - s) <= np.maximum(16, np.abs(s) / 16)).all()
+    assert (parsers.alaw_encode(back) == parsers.alaw_encode(s)).all()
+    assert parsers.hls_playlist([(2_500_000_000, "a.m4s")], 4, True).splitlines()[2:] == ["#EXT-X-TARGETDURATION:3", "#EXT-X-MEDIA-SEQUENCE:4", "#EXTINF:2.500000,", "a.m4s", "#EXT-X-ENDLIST"]
