@@ -2,8 +2,8 @@
 
 A count c is held as its level 1 + floor(log2 c): the n-gram is entered once for each level up to its own. A reader probes level after
 level until a probe fails, so a count is found by repeated membership tests; it is never too low, and too high with a probability that
-falls geometrically. The filter has a fixed largest size, so it may be broadcast: its segments (by the upper bits of the n-gram's
-hash) each have an even share, and a segment whose n-grams would fill its share too densely leaves out the rarest.
+falls geometrically. The filter's segments (by the upper bits of the n-gram's hash) hold all their n-grams. Up to a bound on its size
+the filter is broadcast; beyond it the distinct n-grams of each slice of text go to their segments by a shuffle, and their levels come back.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.common import by_bytes, coded, filled, hash_strings, materialise, mix, split_words, sums, table
 
-#: The filter's bits at most (64 MB), bits that an entry gets at least and at most, and probes for each.
+#: Bits of a filter that is broadcast at most (64 MB), bits that an entry gets at least and at most, and probes for each.
 MAX_BITS, LEAST_BITS, MOST_BITS, PROBES = 1 << 29, 6, 16, 4
 LEVELS = 40
 #: Counts of so many words at most (the most frequent) go to all workers exactly.
@@ -30,6 +31,8 @@ HEAD = 1 << 18
 HELD = 2_000_000
 #: Bytes of text worked on at once.
 SLICE = 3 << 20
+#: N-grams that a segment looks up at once.
+ASKED = 1 << 18
 #: Weight of the word's own probability beside the bigram's count.
 PRIOR = 300.0
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n", b" "))  # hashes of what is no word
@@ -79,7 +82,7 @@ def probes(keys: np.ndarray, at_level: int, bits: np.ndarray) -> Iterator[np.nda
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, share: int) -> bytes:
-    """The bits of a segment that may have share bits."""
+    """The bits of a segment that may have share bits; whole_segment() calls it with enough for all n-grams."""
     levels = level(counts)
     most = int(levels.max()) if len(levels) else 1
     entries = [int(levels[levels >= k].sum()) for k in range(1, most + 2)]  # if n-grams below level k stay out
@@ -94,6 +97,12 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, share: int) -> bytes:
     return np.packbits(field).tobytes()
 
 
+def whole_segment(keys: np.ndarray, counts: np.ndarray, share: int) -> bytes:
+    """The bits of a segment with all its n-grams: within its share of a filter to broadcast if they fit, else as many as they need."""
+    entries = int(level(counts).sum())
+    return build_segment(keys, counts, share if entries * LEAST_BITS <= share else entries * MOST_BITS)
+
+
 @dataclass
 class Model:
     """The filter's segments end to end, where each begins and how many bits it has; exact counts of the head; the corpus's totals."""
@@ -140,6 +149,17 @@ class Model:
         return out
 
 
+@dataclass
+class Answered(Model):
+    """A model without a filter, for one slice of text: the levels of its n-grams (sorted) are given."""
+
+    keys: np.ndarray
+    found: np.ndarray
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
 def gather(docs: DataFrame, segments: int) -> DataFrame:
     """seg, words and their counts, all n-gram keys and their counts (as bytes), from training texts; a task passes on sums, not tokens."""
     shift = np.uint64(64 - (segments.bit_length() - 1))
@@ -182,8 +202,8 @@ def gather(docs: DataFrame, segments: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "seg long, is_word boolean, keys binary, n binary")
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of docs' texts, and the exact count n of each word's hash h."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model of docs' texts, the exact count n of each word's hash h outside the head, and the segments (seg, bits) if they are too large for the model."""
     # In proportion to the input, so that a segment's n-grams fit into a task.
     segments = 1 << max(8, (4 * docs.rdd.getNumPartitions() - 1).bit_length())
     share = MAX_BITS // segments
@@ -198,7 +218,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         word_n = np.bincount(back, np.concatenate(words_n), len(word)).astype(np.int64)
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
-        bits = build_segment(np.concatenate([key, unigram_key(word)]), np.concatenate([n, word_n]), share)
+        bits = whole_segment(np.concatenate([key, unigram_key(word)]), np.concatenate([n, word_n]), share)
         seg = group.column("seg")[0].as_py()
         return pa.table({"seg": pa.array([seg] + [None] * len(word), pa.int64()), "bits": pa.array([bits] + [None] * len(word), pa.binary()), "h": pa.array(np.concatenate([[0], word.view(np.int64)]), pa.int64()), "n": pa.array(np.concatenate([[0], word_n]), pa.int64())})
 
@@ -217,16 +237,111 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     order = np.argsort(h)
     field, begins, bits = [], np.zeros(segments, np.uint64), np.zeros(segments, np.uint64)
     at = 0
-    for row in built.where("seg IS NOT NULL").select("seg", "bits").toLocalIterator():  # MAX_BITS in all at most
+    filters = built.where("seg IS NOT NULL").select("seg", "bits")
+    near = 8 * filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] <= MAX_BITS
+    for row in filters.toLocalIterator() if near else ():  # MAX_BITS in all at most
         field.append(np.frombuffer(row["bits"], np.uint8))
         begins[row["seg"]], bits[row["seg"]] = at, 8 * len(row["bits"])
         at += 8 * len(row["bits"])
     model = Model(np.concatenate(field) if field else np.zeros(1, np.uint8), begins, bits, h[order], n[order], sum(t for _, _, t in by_level), sum(t for _, t, _ in by_level))
-    return model, words.where(F.col("n") < cut)
+    return model, words.where(F.col("n") < cut), None if near else filters
+
+
+def score_part(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:
+    """The scores of a slice of rows (doc_id, held_out, text), and the words outside the head."""
+    offsets, tokens = token_hashes(filled(part.column("text")))
+    pairs, before = bigrams(offsets, tokens)
+    word, of_word = np.unique(tokens, return_inverse=True)
+    exact, about = m.exact(word), m.counts(word)
+    context, of_context = np.unique(before, return_inverse=True)
+    docs_begun = float(max(1, m.exact(np.asarray([END]))[0]))  # a text begins as often as it ends
+    context_n = np.full(len(context), docs_begun)
+    words = np.flatnonzero(context != BEGIN)
+    context_n[words] = m.counts(context[words])
+    pair, of_pair = np.unique(pairs, return_inverse=True)
+    pair_n = LEVEL_COUNT[m.levels(pair)]
+    own = (about + 1) / (m.tokens + m.types + 1)
+    seen = np.minimum(pair_n[of_pair], np.minimum(context_n[of_context], np.maximum(about[of_word], 0)))
+    p = (seen + PRIOR * own[of_word]) / (context_n[of_context] + PRIOR)
+    known = exact[of_word] > 0
+    tail = np.flatnonzero(~known)
+    row = np.searchsorted(offsets, tail, side="right") - 1
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))), pa.int32()), pa.array(tokens[tail].view(np.int64)))
+    base = sums(np.log10(exact[of_word] + 1.0), offsets)
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(sums(known.astype(np.int64), offsets)), pa.array(base), pa.array(sums(np.log10(p), offsets)), lists],
+        ["doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "tail"],
+    )
+
+
+def wanted(m: Model, texts: pa.Array) -> np.ndarray:
+    """The keys, sorted, that score_part looks up in the filter for a slice of texts."""
+    offsets, tokens = token_hashes(filled(texts))
+    word = np.unique(tokens)
+    return np.unique(np.concatenate([bigrams(offsets, tokens)[0], unigram_key(word[m.exact(word) == 0])]))
+
+
+def score_by_shuffle(rows: DataFrame, shared: Broadcast, filters: DataFrame, schema: str) -> DataFrame:
+    """score_part of rows (doc_id, held_out, text) under a filter too large to broadcast.
+
+    A slice of text asks each segment once for its distinct n-grams there, so a segment's group grows with the slices, as the number of
+    segments does. The slices are cut by place in the input's partitions; should a second reading cut them otherwise, the job fails.
+    """
+    segments = len(shared.value.bits)
+    shift = np.uint64(64 - (segments.bit_length() - 1))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in by_bytes(batch, "text", SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array([n] * part.num_rows, pa.int64()), part.column("doc_id"), part.column("held_out"), part.column("text")], ["slice", "doc_id", "held_out", "text"])
+                n += 1
 
-def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: F.Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs; rare: exact counts of words outside the head."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in by_bytes(batch, "text", SLICE):
+                keys = wanted(shared.value, part.column("text"))
+                ends = np.searchsorted(keys >> shift, np.arange(segments + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(ends))
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(some), pa.int64()), pa.array(some), pa.array([keys[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())], ["slice", "seg", "keys"])
+                n += 1
+
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        field = np.frombuffer(segment.column("bits")[0].as_py() if segment.num_rows else b"", np.uint8)
+        one = np.zeros(1, np.uint64)
+        m = Model(field, one, one + np.uint64(8 * len(field)), one[:0], np.zeros(0, np.int64), 0, 0)
+        blocks = asked.column("keys").to_pylist()
+        keys = np.frombuffer(b"".join(blocks), np.uint64)
+        found = np.zeros(len(keys), np.uint8)
+        for i in range(0, len(keys), ASKED):
+            found[i : i + ASKED] = m.levels(keys[i : i + ASKED])
+        ends = np.cumsum([0, *(len(b) // 8 for b in blocks)])
+        return pa.table({"slice": asked.column("slice"), "seg": asked.column("seg"), "levels": pa.array([found[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())})
+
+    def put(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        m = shared.value
+        part = rows.combine_chunks().to_batches()[0]
+        keys = wanted(m, part.column("text"))
+        answers = answers.sort_by("seg")
+        sizes = [len(x) for x in answers.column("levels").to_pylist()]
+        seg, n = np.unique(keys >> shift, return_counts=True)
+        if seg.tolist() != answers.column("seg").to_pylist() or n.tolist() != sizes:
+            raise RuntimeError("the input's partitions changed between two readings")
+        found = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8).astype(np.int64)
+        m = Answered(m.field, m.begins, m.bits, m.head, m.head_counts, m.tokens, m.types, keys, found)
+        return pa.Table.from_batches([score_part(m, part)])
+
+    # Both readings take the same columns: pruned ones would deal a repartitioned input otherwise.
+    asked = rows.mapInArrow(ask, "slice long, seg long, keys binary")
+    answers = asked.groupBy("seg").cogroup(filters.groupBy("seg")).applyInArrow(answer, "slice long, seg long, levels binary")
+    texts = rows.mapInArrow(cut, f"slice long, doc_id {kind}, held_out boolean, text string")
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(put, schema)
+
+
+def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: F.Column, filters: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs; rare and filters: what train() gives beside the model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     norm = math.log10(model.tokens + model.types + 1)
 
@@ -234,30 +349,12 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: F.Column) ->
         m = shared.value
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE):
-                offsets, tokens = token_hashes(filled(part.column("text")))
-                pairs, before = bigrams(offsets, tokens)
-                word, of_word = np.unique(tokens, return_inverse=True)
-                exact, about = m.exact(word), m.counts(word)
-                context, of_context = np.unique(before, return_inverse=True)
-                docs_begun = float(max(1, m.exact(np.asarray([END]))[0]))  # a text begins as often as it ends
-                context_n = np.where(context == BEGIN, docs_begun, m.counts(context))
-                pair, of_pair = np.unique(pairs, return_inverse=True)
-                pair_n = LEVEL_COUNT[m.levels(pair)]
-                own = (about + 1) / (m.tokens + m.types + 1)
-                seen = np.minimum(pair_n[of_pair], np.minimum(context_n[of_context], np.maximum(about[of_word], 0)))
-                p = (seen + PRIOR * own[of_word]) / (context_n[of_context] + PRIOR)
-                known = exact[of_word] > 0
-                tail = np.flatnonzero(~known)
-                row = np.searchsorted(offsets, tail, side="right") - 1
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))), pa.int32()), pa.array(tokens[tail].view(np.int64)))
-                base = sums(np.log10(exact[of_word] + 1.0), offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(sums(known.astype(np.int64), offsets)), pa.array(base), pa.array(sums(np.log10(p), offsets)), lists],
-                    ["doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "tail"],
-                )
+                yield score_part(m, part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<long>")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<long>"
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    rows = rows.mapInArrow(run, schema) if filters is None else score_by_shuffle(rows, shared, filters, schema)
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "scores")
     shared.unpersist()  # the scores are written
     tails = rows.select("_row", F.explode("tail").alias("h")).join(rare, "h")
@@ -286,8 +383,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Texts of any length are read whole. Empty table: no rows. Other columns are not read.
     """
     held = is_held_out(F.col("doc_id"))
-    model, rare = train(docs.where(~held))
-    return score(docs, model, rare, held)
+    model, rare, filters = train(docs.where(~held))
+    return score(docs, model, rare, held, filters)
 
 
 def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

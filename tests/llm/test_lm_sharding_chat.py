@@ -64,6 +64,23 @@ def test_filter_levels_are_never_too_low():
     assert 8 * len(tight) <= 1 << 14
 
 
+def test_no_ngram_is_left_out_beyond_the_broadcast(spark, small, monkeypatch):
+    """A filter over the bound is probed by a shuffle: scores stay those of the whole model, singletons included."""
+    docs = [(r.doc_id, r.text) for r in table(spark, small, "documents").collect()]
+    whole = {r.doc_id: r for r in bloomlm.op7_bloom_lm(spark, small).collect()}
+    monkeypatch.setattr(bloomlm, "MAX_BITS", 1 << 16)
+    monkeypatch.setattr(bloomlm, "HEAD", 50)
+    monkeypatch.setattr(bloomlm, "SLICE", 1 << 14)
+    out = bloomlm.op7_bloom_lm(spark, small).collect()
+    check_scores(docs, out)
+    # Words outside the small head have rounded counts.
+    off = [abs(r.score - whole[r.doc_id].score) / r.n_tokens for r in out]
+    assert sum(off) / len(off) < 0.1
+    frame = odd_documents(spark)
+    check_scores([(r.doc_id, r.text) for r in frame.collect()], bloomlm.score_documents(frame).collect())
+    assert bloomlm.score_documents(no_documents(spark)).collect() == []
+
+
 def test_rendezvous_equals_brute_force(spark):
     rows = spark.range(2000).select("id", sharding.rendezvous_shard(F.col("id"), [1.0] * 8).alias("s"), sharding.rendezvous_shard(F.col("id"), [1.0] * 9).alias("t")).collect()
 
