@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so a question with other numbers or names has the same template. Windows of
 template words are joined by hash with those of the benchmark; the values that stand in the slots of matched windows must
-then map consistently: one value of the item to one value of the document.
+then map consistently: one value of the item to one value of the document, over all matches or over those of one alignment.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ LITERALS = 2
 SHARE, FEWEST, ENOUGH = 0.5, 3, 8
 #: Of an item's slot values, so many must each map to one value of the document.
 CONSISTENT = 0.75
+#: Matches belong to one alignment if their shifts (place in the document less place in the item) are equal, or in one band of so many words; bands overlap by half.
+BAND = 8
 #: The benchmark's windows are broadcast up to so many rows (of some 200 bytes), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: The ids of documents to drop are broadcast up to so many (8 bytes each).
@@ -89,7 +91,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     """doc_id, item_id, n_matched, n_windows, coverage, n_slots, n_changed for each item that a document holds.
 
     Null and empty texts, and texts or items of fewer words than a window, hold nothing. Items with equal texts are each reported.
-    Rows with one doc_id and the same text are reported once; null ids are ids. Texts are read whole. Empty tables: no rows. Other columns are not read.
+    A document that holds an item several times, with other values each time, is judged by each alignment; the figures are those of all matches
+    if these are consistent, else of the alignment with the most windows. Rows with one doc_id and the same text are reported once; null ids are ids. Texts are read whole. Empty tables: no rows. Other columns are not read.
 
     The documents' windows meet the benchmark's where they are made, while the benchmark is small enough to broadcast; only
     matches are shuffled, by document and item, and a group holds an item's windows at most.
@@ -112,17 +115,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     held = held.withColumn("n_matched", F.size(F.array_distinct(F.transform("m", lambda x: x["ipos"]))).cast("long"))
     n = F.col("n_windows")
     least = F.when(n <= FEWEST, n).otherwise(F.least(F.lit(ENOUGH), F.greatest(F.lit(FEWEST), F.ceil(n * SHARE))))
-    values = F.array_distinct(F.transform("pairs", lambda p: p["v"]))
-    steady = F.size(F.filter("values", lambda v: F.size(F.filter("pairs", lambda p: p["v"] == v)) == 1))
     held = held.where(F.col("n_matched") >= least)
     if not near:
         texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text").dropDuplicates(["_id", "_th"])
         held = held.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     held = held.withColumn("r", raw_words(F.col("text")))
-    pairs = F.transform("m", lambda x: F.transform(x["slots"], lambda s: F.struct(s["v"].alias("v"), F.coalesce(F.get(F.col("r"), x["pos"] - 1 + s["k"]), F.lit("")).alias("d"))))
-    held = held.withColumn("pairs", F.array_distinct(F.flatten(pairs))).withColumn("values", values).withColumn("steady", steady)
-    held = held.where(F.col("steady") >= CONSISTENT * F.size("values"))
-    return held.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / n).alias("coverage"), F.size("values").cast("long").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["v"] != p["d"])).cast("long").alias("n_changed"))
+    pairs = lambda x: F.transform(x["slots"], lambda s: F.struct(s["v"].alias("v"), F.coalesce(F.get(F.col("r"), x["pos"] - 1 + s["k"]), F.lit("")).alias("d")))
+    held = held.withColumn("x", F.transform("m", lambda x: F.struct(x["ipos"].alias("ipos"), (x["pos"] - x["ipos"]).alias("shift"), pairs(x).alias("pairs"))))
+    held = held.select(*key, "n_windows", F.explode("x").alias("x"))
+    shift = F.col("x.shift")
+    group = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    groups = F.array(group(0, F.lit(0)), group(1, shift), group(2, F.floor(shift / BAND)), group(3, F.floor((shift + BAND // 2) / BAND)))  # all, one shift, bands
+    held = held.select(*key, "n_windows", F.explode(groups).alias("g"), "x.ipos", "x.pairs").groupBy(*key, "g").agg(F.max("n_windows").alias("n_windows"), F.size(F.collect_set("ipos")).cast("long").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    held = held.where(F.col("n_matched") >= least).withColumn("values", F.array_distinct(F.transform("pairs", lambda p: p["v"])))
+    steady = F.size(F.filter("values", lambda v: F.size(F.filter("pairs", lambda p: p["v"] == v)) == 1))
+    held = held.where(steady >= CONSISTENT * F.size("values"))
+    changed = F.size(F.filter("pairs", lambda p: p["v"] != p["d"])).cast("long")
+    best = F.min(F.struct((F.col("g.kind") > 0).alias("part"), (-F.col("n_matched")).alias("less"), changed.alias("n_changed"), F.size("values").cast("long").alias("n_slots"))).alias("b")
+    held = held.groupBy(*key).agg(F.max("n_windows").alias("n_windows"), best).withColumn("n_matched", -F.col("b.less"))
+    return held.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / n).alias("coverage"), "b.n_slots", "b.n_changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

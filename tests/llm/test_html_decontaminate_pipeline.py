@@ -80,6 +80,17 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r.doc_id for r in out] == [1]
 
 
+def test_each_occurrence_is_judged(spark):
+    """A copy stays a leak beside a variant of the same item, and if the item repeats a template with other values."""
+    other = ITEM.replace("Paris", "Rome").replace("Alice", "Carol").replace("120", "77").replace("15", "8").replace("9", "11")
+    repeats = " then ".join(f"he picked {k} red apples from the tree" for k in (3, 8, 5, 7, 4))
+    docs = [(1, ITEM + " And again. " + other), (2, other + " And again. " + other.replace("Rome", "Oslo").replace("77", "31").replace("8", "6").replace("Carol", "Dan").replace("11", "12")), (3, "Intro here. " + repeats)]
+    benchmark = spark.createDataFrame([(10, ITEM), (11, repeats)], "item_id long, text string")
+    out = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(1, 10), (2, 10), (3, 11)}
+    assert {r.doc_id: r.n_changed for r in out}[1] == {r.doc_id: r.n_changed for r in out}[3] == 0
+
+
 def test_join_without_broadcast_agrees(spark, medium, monkeypatch):
     docs, benchmark = table(spark, medium, "documents"), table(spark, medium, "benchmark")
     near = sorted(decontaminate.find_leaks(docs, benchmark).collect())
