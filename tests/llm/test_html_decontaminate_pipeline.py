@@ -38,6 +38,12 @@ def test_boilerplate_goes(spark):
         assert got[100 + i] == want.format(i=i).removesuffix("\nx y")  # a constant outside an article
 
 
+def test_hosts_that_mix_templates(spark):
+    """One page with an article leaves the text of the host's other pages alone."""
+    pages = [(1, None, "<body><article><p>In an article</p></article><p>Outside</p></body>", "", 1), (2, None, "<body><div><p>No article here</p></div></body>", "", 1), (3, None, "<body><main></main><p>Empty main</p></body>", "", 1)]
+    assert text_of(pages, spark) == {1: "In an article", 2: "No article here", 3: "Empty main"}
+
+
 def test_odd_pages(spark):
     pages = [(1, None, None, None, None), (2, "", "", None, None), (3, "x", "no markup at all", None, None), (4, "http://h/", "<article><p>open <b>never closed", None, None), (5, "http://h/", "<" * 50 + "a='", None, None), (6, "http://h/", "<p>" * 400 + "deep", None, None), (7, "http://h/", "<div>" * 400 + "deep", None, None), (4, "http://h/", "<article><p>open <b>never closed", None, None)]
     got = text_of(pages, spark)
