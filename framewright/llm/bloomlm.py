@@ -1,9 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter of word and bigram counts.
 
-A count c is held as its level 1 + floor(log2 c): the n-gram is entered once for each level up to its own. A reader probes level after
-level until a probe fails, so a count is found by repeated membership tests; it is never too low, and too high with a probability that
-falls geometrically. The filter's segments (by the upper bits of the n-gram's hash) hold all their n-grams. Up to a bound on its size
-the filter is broadcast; beyond it the distinct n-grams of each slice of text go to their segments by a shuffle, and their levels come back.
+A count is held as its level, the number of STEPS that it reaches: the n-gram is entered once for each level up to its own. A reader probes
+level after level until a probe fails, so a count is found by repeated membership tests; it is never too low, and too high with a
+probability that falls geometrically. Every n-gram of the training texts is in the filter, whose segments (by the upper bits of the
+n-gram's hash) have so many bits an entry. How many segments there are follows from the bytes of training text, so neither filter nor
+scores depend on how the rows are dealt. Up to a bound on its size the filter is broadcast; beyond it the distinct n-grams of each slice
+of text go to their segments by a shuffle, and their levels come back: the scores are the same.
+
+A bigram's probability is (c + k p) / (n + k): c its count, n its context's, p the word's own probability, and k = n ^ NEW, after
+Heaps's law about the number of different words behind a context (Witten and Bell's weight for the unseen).
 """
 
 from __future__ import annotations
@@ -22,10 +27,13 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import by_bytes, coded, filled, hash_strings, materialise, mix, split_words, sums, table
 
-#: Bits of a filter that is broadcast at most (64 MB), bits that an entry gets at least and at most, and probes for each.
-MAX_BITS, LEAST_BITS, MOST_BITS, PROBES = 1 << 29, 6, 16, 4
-LEVELS = 40
-#: Counts of so many words at most (the most frequent) go to all workers exactly.
+#: Bits of a filter that is broadcast at most (64 MB), bits of an entry, and probes for each: about 1 % of unseen entries are found.
+MAX_BITS, BITS, PROBES = 1 << 29, 10, 5
+#: Bytes of training text for each segment, at most.
+SEGMENT = 2 << 20
+#: Levels of counts.
+STEPS = np.asarray(sorted({1, *(x << k for k in range(39) for x in (2, 3))}), np.int64)
+#: Exact counts of so many words at most (the most frequent) go to all workers, for the base score; others are joined.
 HEAD = 1 << 18
 #: N-grams that a task holds before it passes them on.
 HELD = 2_000_000
@@ -33,8 +41,8 @@ HELD = 2_000_000
 SLICE = 3 << 20
 #: N-grams that a segment looks up at once.
 ASKED = 1 << 18
-#: Weight of the word's own probability beside the bigram's count.
-PRIOR = 300.0
+#: The number of different words behind a context that occurs n times is taken for n ^ NEW.
+NEW = 0.9
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n", b" "))  # hashes of what is no word
 
 
@@ -65,11 +73,11 @@ def unigram_key(tokens: np.ndarray) -> np.ndarray:
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
+    return np.searchsorted(STEPS, counts, side="right")
 
 
 #: The count that a level stands for: the geometric mean of its least and greatest.
-LEVEL_COUNT = np.concatenate([[0.0], np.sqrt(2.0 ** np.arange(LEVELS) * (2.0 ** np.arange(1, LEVELS + 1) - 1))])
+LEVEL_COUNT = np.concatenate([[0.0], np.sqrt(STEPS * np.append(STEPS[1:] - 1.0, 2.0 * STEPS[-1]))])
 
 
 def probes(keys: np.ndarray, at_level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
@@ -81,28 +89,17 @@ def probes(keys: np.ndarray, at_level: int, bits: np.ndarray) -> Iterator[np.nda
             yield (a + np.uint64(j) * b) % bits
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, share: int) -> bytes:
-    """The bits of a segment that may have share bits; whole_segment() calls it with enough for all n-grams."""
+def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The bits of a segment: BITS for each entry of all its n-grams."""
     levels = level(counts)
-    most = int(levels.max()) if len(levels) else 1
-    entries = [int(levels[levels >= k].sum()) for k in range(1, most + 2)]  # if n-grams below level k stay out
-    least = next((k for k in range(1, most + 1) if entries[k - 1] * LEAST_BITS <= share), most + 1)
-    keys, levels = keys[levels >= least], levels[levels >= least]
-    size = min(share, max(64, int(levels.sum()) * MOST_BITS)) // 8 * 8
+    size = max(64, int(levels.sum()) * BITS // 8 * 8)
     field = np.zeros(size, bool)
-    for k in range(1, most + 1):
-        chosen = keys[levels >= k]
-        for at in probes(chosen, k, np.uint64(size)):
+    for k in range(1, int(levels.max()) + 1 if len(levels) else 1):
+        for at in probes(keys[levels >= k], k, np.uint64(size)):
             field[at] = True
     return np.packbits(field).tobytes()
 
 
-def whole_segment(keys: np.ndarray, counts: np.ndarray, share: int) -> bytes:
-    """The bits of a segment with all its n-grams: within its share of a filter to broadcast if they fit, else as many as they need."""
-    entries = int(level(counts).sum())
-    return build_segment(keys, counts, share if entries * LEAST_BITS <= share else entries * MOST_BITS)
-
-
 @dataclass
 class Model:
     """The filter's segments end to end, where each begins and how many bits it has; exact counts of the head; the corpus's totals."""
@@ -122,7 +119,7 @@ class Model:
         seg = (keys >> shift).astype(np.int64) if len(self.bits) > 1 else np.zeros(len(keys), np.int64)
         begins, bits = self.begins[seg], self.bits[seg]
         alive = np.flatnonzero(bits > 0)
-        for k in range(1, LEVELS):
+        for k in range(1, len(STEPS) + 1):
             there = np.ones(len(alive), bool)
             for at in probes(keys[alive], k, bits[alive]):
                 at = at + begins[alive]
@@ -142,11 +139,8 @@ class Model:
         return np.where(self.head[at] == tokens, self.head_counts[at], 0)
 
     def counts(self, tokens: np.ndarray) -> np.ndarray:
-        """Head words exactly, others from the filter."""
-        out = self.exact(tokens).astype(np.float64)
-        rest = np.flatnonzero(out == 0)
-        out[rest] = LEVEL_COUNT[self.levels(unigram_key(tokens[rest]))]
-        return out
+        """Counts of words by the filter."""
+        return LEVEL_COUNT[self.levels(unigram_key(tokens))]
 
 
 @dataclass
@@ -160,6 +154,11 @@ class Answered(Model):
         return self.found[np.searchsorted(self.keys, keys)]
 
 
+def short(n: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return n.astype(f"<u{next(w for w in (1, 2, 4, 8) if w == 8 or n.max() < 1 << 8 * w)}").tobytes()
+
+
 def gather(docs: DataFrame, segments: int) -> DataFrame:
     """seg, words and their counts, all n-gram keys and their counts (as bytes), from training texts; a task passes on sums, not tokens."""
     shift = np.uint64(64 - (segments.bit_length() - 1))
@@ -182,7 +181,7 @@ def gather(docs: DataFrame, segments: int) -> DataFrame:
                 keys, n, seg = keys[by], n[by], seg[by]
                 cuts = np.flatnonzero(np.diff(seg, prepend=-1))
                 ends = np.append(cuts[1:], len(seg))
-                yield pa.RecordBatch.from_arrays([pa.array(seg[cuts]), pa.array([is_word] * len(cuts)), pa.array([keys[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()), pa.array([n[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary())], ["seg", "is_word", "keys", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(seg[cuts]), pa.array([is_word] * len(cuts)), pa.array([keys[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()), pa.array([short(n[i:j]) for i, j in zip(cuts, ends, strict=True)], pa.binary())], ["seg", "is_word", "keys", "n"])
                 parts.clear()
 
         size = 0
@@ -204,25 +203,25 @@ def gather(docs: DataFrame, segments: int) -> DataFrame:
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
     """The model of docs' texts, the exact count n of each word's hash h outside the head, and the segments (seg, bits) if they are too large for the model."""
-    # In proportion to the input, so that a segment's n-grams fit into a task.
-    segments = 1 << max(8, (4 * docs.rdd.getNumPartitions() - 1).bit_length())
-    share = MAX_BITS // segments
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    segments = 1 << max(4, (size // SEGMENT).bit_length())
 
     def reduce(group: pa.Table) -> pa.Table:
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         words, words_n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for is_word, k, n in zip(group.column("is_word").to_pylist(), group.column("keys").to_pylist(), group.column("n").to_pylist(), strict=True):
             (words if is_word else keys).append(np.frombuffer(k, np.uint64))
-            (words_n if is_word else counts).append(np.frombuffer(n, np.int64))
+            (words_n if is_word else counts).append(np.frombuffer(n, f"<u{8 * len(n) // len(k)}").astype(np.int64))
         word, back = np.unique(np.concatenate(words), return_inverse=True)
         word_n = np.bincount(back, np.concatenate(words_n), len(word)).astype(np.int64)
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
-        bits = whole_segment(np.concatenate([key, unigram_key(word)]), np.concatenate([n, word_n]), share)
+        bits = build_segment(np.concatenate([key, unigram_key(word)]), np.concatenate([n, word_n]))
         seg = group.column("seg")[0].as_py()
         return pa.table({"seg": pa.array([seg] + [None] * len(word), pa.int64()), "bits": pa.array([bits] + [None] * len(word), pa.binary()), "h": pa.array(np.concatenate([[0], word.view(np.int64)]), pa.int64()), "n": pa.array(np.concatenate([[0], word_n]), pa.int64())})
 
-    built = materialise(gather(docs, segments).groupBy("seg").applyInArrow(reduce, "seg long, bits binary, h long, n long"), "ngrams")
+    gathered = gather(docs, segments).repartition(segments // 2, "seg")  # tasks grow with the input
+    built = materialise(gathered.groupBy("seg").applyInArrow(reduce, "seg long, bits binary, h long, n long"), "ngrams")
     words = built.where("seg IS NULL").select("h", "n")
     # The head: all words of a count level or above, down to the level at which they would be more than HEAD.
     by_level = sorted(((r["l"], r["types"], r["tokens"]) for r in words.groupBy(F.floor(F.log2("n")).alias("l")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect()), reverse=True)
@@ -253,32 +252,31 @@ def score_part(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:
     pairs, before = bigrams(offsets, tokens)
     word, of_word = np.unique(tokens, return_inverse=True)
     exact, about = m.exact(word), m.counts(word)
-    context, of_context = np.unique(before, return_inverse=True)
-    docs_begun = float(max(1, m.exact(np.asarray([END]))[0]))  # a text begins as often as it ends
-    context_n = np.full(len(context), docs_begun)
-    words = np.flatnonzero(context != BEGIN)
-    context_n[words] = m.counts(context[words])
+    begun = about[np.searchsorted(word, END)] if len(word) else 0.0  # a text begins as often as it ends
+    place = np.minimum(np.searchsorted(word, before), max(0, len(word) - 1))
+    context_n = np.where(before == BEGIN, begun, about[place])  # every other context is a token of its text
     pair, of_pair = np.unique(pairs, return_inverse=True)
-    pair_n = LEVEL_COUNT[m.levels(pair)]
     own = (about + 1) / (m.tokens + m.types + 1)
-    seen = np.minimum(pair_n[of_pair], np.minimum(context_n[of_context], np.maximum(about[of_word], 0)))
-    p = (seen + PRIOR * own[of_word]) / (context_n[of_context] + PRIOR)
+    seen = np.minimum(LEVEL_COUNT[m.levels(pair)][of_pair], np.minimum(context_n, about[of_word]))
+    k = np.maximum(context_n, 1.0) ** NEW
+    p = (seen + k * own[of_word]) / (context_n + k)
     known = exact[of_word] > 0
-    tail = np.flatnonzero(~known)
+    tail = np.flatnonzero(~known & (about[of_word] > 0))  # what the filter doesn't know has no count
     row = np.searchsorted(offsets, tail, side="right") - 1
-    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))), pa.int32()), pa.array(tokens[tail].view(np.int64)))
+    key, n = np.unique(np.column_stack([row, of_word[tail]]), axis=0, return_counts=True) if len(tail) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    ends = pa.array(np.searchsorted(key[:, 0], np.arange(len(offsets))), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (word[key[:, 1]].view(np.int64), n)]
     base = sums(np.log10(exact[of_word] + 1.0), offsets)
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(sums(known.astype(np.int64), offsets)), pa.array(base), pa.array(sums(np.log10(p), offsets)), lists],
-        ["doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "tail"],
+        [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(sums(known.astype(np.int64), offsets)), pa.array(base), pa.array(sums(np.log10(p), offsets)), *lists],
+        ["doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "tail", "tail_n"],
     )
 
 
 def wanted(m: Model, texts: pa.Array) -> np.ndarray:
     """The keys, sorted, that score_part looks up in the filter for a slice of texts."""
     offsets, tokens = token_hashes(filled(texts))
-    word = np.unique(tokens)
-    return np.unique(np.concatenate([bigrams(offsets, tokens)[0], unigram_key(word[m.exact(word) == 0])]))
+    return np.unique(np.concatenate([bigrams(offsets, tokens)[0], unigram_key(np.unique(tokens))]))
 
 
 def score_by_shuffle(rows: DataFrame, shared: Broadcast, filters: DataFrame, schema: str) -> DataFrame:
@@ -352,14 +350,14 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: F.Column, fi
                 yield score_part(m, part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<long>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<long>, tail_n array<long>"
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     rows = rows.mapInArrow(run, schema) if filters is None else score_by_shuffle(rows, shared, filters, schema)
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "scores")
     shared.unpersist()  # the scores are written
-    tails = rows.select("_row", F.explode("tail").alias("h")).join(rare, "h")
-    tails = tails.groupBy("_row").agg(F.count(F.lit(1)).alias("_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("_base"))
-    out = rows.drop("tail").join(tails, "_row", "left")
+    tails = rows.select("_row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("_row", F.col("t.tail").alias("h"), F.col("t.tail_n").alias("times")).join(rare, "h")
+    tails = tails.groupBy("_row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_base"))
+    out = rows.drop("tail", "tail_n").join(tails, "_row", "left")
     return out.select(
         "doc_id",
         "held_out",

@@ -126,8 +126,10 @@ def row_of(offsets: np.ndarray) -> np.ndarray:
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The sum of values in each row."""
-    total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    """The sum of values in each row; of floats one after the other, so that a row's sum doesn't depend on the rows around it."""
+    if values.dtype.kind == "f":
+        return np.bincount(row_of(offsets), values, len(offsets) - 1)
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
