@@ -1,40 +1,64 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes, word shingles decide.
 
-Each text's shingle set has TREES signatures of up to DEPTH minima; a tree sorts the texts by signature, so those that share a prefix
-lie together. The prefix is shortened from DEPTH down, until a pair at the threshold shares one in some tree with the target
-probability. Texts with equal shingle sets are one class from the start and meet others through one representative.
+Each text's shingle set has a signature of DEPTH minima in each of TREES trees. A tree is a trie of its signatures: a node at depth d stands for
+all that share a prefix of d minima. The prefixes that must match begin at DEPTH minima in every tree and are shortened, one
+minimum in one tree at a time, until a pair at the threshold meets in some tree with the target probability; the next to be
+shortened is the tree in which that costs the fewest pairs to compare for what it gains, by the sizes of its trie's nodes (of all texts). Texts
+with equal shingle sets (by a 128-bit hash) are one class from the start and meet others through one text.
 
-The representatives that share a prefix gather in a block named after the least of them in that tree, so two that share any prefix
+The classes that share a prefix gather in a block named after the least of them in that tree, so two that share any prefix
 share a block. A block is compared as a whole, in tiles of bounded size, and gives back a number of links for each member and
 a tree that spans what is linked: rows grow with members, never with pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import by_bytes, coded, filled, hash_strings, materialise, mix, row_of, split_words, table, unique_name
+from framewright.llm.common import by_bytes, coded, filled, hash_strings, materialise, mix, numbered, row_of, split_words, table, unique_name
 
-SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.9995
-TREES, DEPTH = 32, 10
+SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.9999
+#: Bytes of a minimum in a signature.
+TREES, DEPTH, WIDE = 32, 10, 2
 #: A tile has about so many members or bytes of text from either side at most.
 TILE, TILE_BYTES = 512, 4 << 20
-#: The numbers of tiles go to all tasks up to so many blocks (16 bytes each), else they are joined.
+#: The numbers of tiles, and the ids of classes, go to all tasks up to so many (16 bytes each), else they are joined.
 BROADCAST_ROWS = 500_000
 
 
-def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the target probability."""
-    length = depth
-    while length > 1 and 1 - (1 - threshold**length) ** trees < target:
+def miss(threshold: float, depths: list[int]) -> float:
+    """The probability that a pair at the threshold shares no prefix of the depths given."""
+    return math.exp(sum(math.log1p(-(threshold**d)) for d in depths))
+
+
+def least_depth(threshold: float, trees: int, target: float) -> int:
+    """A prefix length that reaches the target if all trees have it; no tree's prefix gets shorter."""
+    length = DEPTH
+    while length > 1 and 1 - miss(threshold, [length] * trees) < target:
         length -= 1
-    return length
+    return max(1, length - 1)
+
+
+def shortened(pairs: dict[tuple[int, int], float], threshold: float, trees: int, target: float) -> list[int]:
+    """The prefix length of each tree. pairs: how many pairs share a prefix, by (tree, depth)."""
+    least, depths = least_depth(threshold, trees, target), [DEPTH] * trees
+
+    def price(t: int) -> tuple[float, int]:
+        d = depths[t]
+        gain = math.log1p(-(threshold**d)) - math.log1p(-(threshold ** (d - 1)))
+        return (1 + pairs.get((t, d - 1), 0.0) - pairs.get((t, d), 0.0)) / gain, t
+
+    while 1 - miss(threshold, depths) < target and (open_trees := [t for t in range(trees) if depths[t] > least]):
+        depths[min(map(price, open_trees))[1]] -= 1
+    return depths
 
 
 def shingle_hashes(offsets: np.ndarray, codes: np.ndarray, names: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +90,11 @@ def distinct_per_row(starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray
     return np.searchsorted(r[new], np.arange(len(starts))), h[new]
 
 
-def signatures(starts: np.ndarray, hashes: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """[row, tree]: a hash of the tree's first length minima; rows without shingles have 0."""
+def signatures(starts: np.ndarray, hashes: np.ndarray, trees: int, depth: int = DEPTH) -> np.ndarray:
+    """[row, tree, depth]: 16 bits of each minimum; rows without shingles have 0."""
     rng = np.random.default_rng(20240229)
     full = np.flatnonzero(np.diff(starts) > 0)
-    out = np.zeros((len(starts) - 1, trees), np.uint64)
+    out = np.zeros((len(starts) - 1, trees, depth), ">u2")
     if not len(full):
         return out
     at = starts[:-1][full]
@@ -78,19 +102,18 @@ def signatures(starts: np.ndarray, hashes: np.ndarray, trees: int, length: int)
     value = np.empty_like(low)
     with np.errstate(over="ignore"):
         for t in range(trees):
-            key = np.full(len(full), np.uint64(t + 1))
-            for _ in range(length):
+            for d in range(depth):
                 a, b = (np.uint32(x | 1) for x in rng.integers(0, 2**32, 2, np.uint64))
                 np.multiply(low, a, out=value)
                 value ^= high
                 value *= b
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(value, at).astype(np.uint64))
-            out[full, t] = key
+                least = np.minimum.reduceat(value, at)
+                out[full, t, d] = least ^ (least >> np.uint32(16))
     return out
 
 
-def sign(docs: DataFrame, trees: int, length: int) -> DataFrame:
-    """doc_id, set_hash (128 bits of the shingle set), n_bytes and keys (one for each tree; none without shingles)."""
+def sign(docs: DataFrame, trees: int) -> DataFrame:
+    """doc_id, th (the text's hash), set_hash (128 bits of the shingle set), n_bytes and sig (WIDE * DEPTH bytes for each tree; null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,16 +122,34 @@ def sign(docs: DataFrame, trees: int, length: int) -> DataFrame:
                 offsets, words = split_words(texts)
                 codes, names = coded(words)
                 starts, hashes = distinct_per_row(*shingle_hashes(offsets, codes, names))
-                keys = signatures(starts, hashes, trees, length)
+                sig = signatures(starts, hashes, trees)
                 with np.errstate(over="ignore"):
                     one = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes), dtype=np.uint64)])
                     two = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)), dtype=np.uint64)])
                     both = np.column_stack([one[starts[1:]] - one[starts[:-1]], two[starts[1:]] - two[starts[:-1]]])
                 some = np.diff(starts) > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * trees)]), pa.int32()), pa.array(keys[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in both], pa.binary()), pa.array([len(t) for t in texts.cast(pa.large_binary()).to_pylist()], pa.int64()), lists], ["doc_id", "set_hash", "n_bytes", "keys"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_hash binary, n_bytes long, keys array<long>")
+                size = pc.binary_length(texts).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array([x.tobytes() for x in both], pa.binary()), size, pa.array([x.tobytes() if s else None for x, s in zip(sig, some, strict=True)], pa.binary())], ["doc_id", "th", "set_hash", "n_bytes", "sig"])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, set_hash binary, n_bytes long, sig binary")
+
+
+def blocks_of(classes: DataFrame, threshold: float, trees: int, target: float) -> DataFrame:
+    """node, blocks: the blocks of each class (node, sig) that shares a prefix with another in some tree."""
+    least, size = least_depth(threshold, trees, target), WIDE * DEPTH
+    prefix = lambda d: F.xxhash64("tree", F.expr(f"substring(sig, 1, {WIDE} * ({d}))"))
+    entries = classes.where("sig IS NOT NULL").select("node", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig")
+    entries = entries.select("node", "tree", F.expr(f"substring(sig, {size} * tree + 1, {size})").alias("sig")).withColumn("key", prefix(least))
+    # Whoever shares no prefix of the least length shares none.
+    shared = entries.groupBy("key").agg(F.min("node").alias("_least"), F.max("node").alias("_most")).where("_least < _most").select("key")
+    alive = materialise(entries.join(shared, "key").drop("key"), "tries")
+    nodes = alive.select("tree", "sig").groupBy("tree", "sig").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    nodes = nodes.select("tree", "sig", "n", F.explode(F.sequence(F.lit(least), F.lit(DEPTH))).alias("depth")).groupBy("tree", "depth", prefix("depth").alias("key")).agg(F.sum("n").alias("n"))
+    pairs = {(r["tree"], r["depth"]): r["pairs"] for r in nodes.groupBy("tree", "depth").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()}
+    depths = shortened(pairs, threshold, trees, target)
+    cut = alive.select("node", F.xxhash64("tree", F.expr(f"substring(sig, 1, {WIDE} * element_at(array({', '.join(map(str, depths))}), tree + 1))")).alias("key"))
+    block = cut.groupBy("key").agg(F.min("node").alias("block"), F.max("node").alias("_most")).where("block < _most").drop("_most")
+    return cut.join(block, "key").groupBy("node").agg(F.collect_set("block").alias("blocks"))
 
 
 # --- comparing the members of two tiles ---------------------------------------------------------------------------------------
@@ -176,13 +217,12 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compare_tile(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """rep, links (members of other classes linked with rep in this tile) and root (the least representative it is linked with here).
+    """node, links (rows of other classes linked with node in this tile) and root (the least node that it is linked with here).
 
     A pair is counted in the least block that both belong to.
     """
-    group = group.drop_duplicates(["rep", "side", "_text"]).sort_values(["rep", "side"], kind="stable")
     whole = bool(group["i"].iloc[0] == group["j"].iloc[0])
-    sets = group.drop_duplicates("rep").reset_index(drop=True)
+    sets = group.sort_values("node").reset_index(drop=True)
     starts, columns = shingle_sets(sets["_text"].fillna("").tolist())
     block = sets["block"].iloc[0]
     size = np.diff(starts)
@@ -207,9 +247,9 @@ def compare_tile(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
         found_a.append(a)
         found_b.append(b)
     a, b = np.concatenate([*found_a, np.zeros(0, np.int64)]), np.concatenate([*found_b, np.zeros(0, np.int64)])
-    rep = sets["rep"].to_numpy()
+    node = sets["node"].to_numpy()
     linked = np.flatnonzero(links > 0)
-    return pd.DataFrame({"rep": rep[linked], "links": links[linked], "root": rep[roots(len(sets), a.astype(np.int64), b.astype(np.int64))[linked]]})
+    return pd.DataFrame({"node": node[linked], "links": links[linked], "root": node[roots(len(sets), a.astype(np.int64), b.astype(np.int64))[linked]]})
 
 
 # --- components ------------------------------------------------------------------------------------------------------------------
@@ -235,55 +275,72 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def join_similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET) -> DataFrame:
-    """A row for each row of docs: doc_id, class_id (the least doc_id of what is linked, step by step), copy_id (the least with the same shingle set),
-    n_copies (rows with the same set) and n_links (other rows whose sets have a Jaccard similarity of threshold or more).
+def with_classes(docs: DataFrame, threshold: float, trees: int, target: float) -> DataFrame:
+    """What join_similar() gives, and th (a hash of the text) and class (a number for each class)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    signed = materialise(sign(docs, trees), "signatures")
+    one = F.min(F.struct("doc_id", "th")).alias("one")
+    classes = signed.where("doc_id IS NOT NULL").groupBy("set_hash").agg(one, F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("sig").alias("sig"))
+    classes = numbered(classes.select("set_hash", F.col("one.doc_id").alias("rep"), F.col("one.th").alias("th"), "copies", "n_bytes", "sig"), "classes", "node")
 
-    docs: doc_id (integer), text. A text of fewer words than a shingle has one shingle of them all; texts without words (null, empty) are copies of one
-    another and of nothing else. A row with a null doc_id counts in no class: class_id is null, n_copies and n_links 0. Repeated rows are
-    copies; different texts with one doc_id are one node of the classes. Texts are read whole. Empty table: no rows. Other columns are not read.
-    """
-    length = prefix_length(threshold, trees, DEPTH, target)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(sign(docs, trees, length), "signatures")
-    classes = signed.where("doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("keys").alias("keys"))
-    classes = materialise(classes, "classes")
-
-    prefixes = classes.select("rep", F.posexplode("keys").alias("tree", "key"))
-    shared = prefixes.groupBy("tree", "key").agg(F.min("rep").alias("block"), F.max("rep").alias("_most")).where("block < _most").drop("_most")
-    member = prefixes.join(shared, ["tree", "key"]).groupBy("rep").agg(F.collect_set("block").alias("blocks"))
-    member = materialise(member.join(classes.select("rep", "copies", "n_bytes"), "rep"), "members")
-    in_block = member.select("rep", "copies", "n_bytes", "blocks", F.explode("blocks").alias("block"))
+    member = blocks_of(classes.select("node", "sig"), threshold, trees, target)
+    member = materialise(member.join(classes.select("node", "rep", "th", "copies", "n_bytes"), "node"), "members")
+    in_block = member.select("node", "rep", "th", "copies", "n_bytes", "blocks", F.explode("blocks").alias("block"))
     # Only blocks of several tiles need their number known: at most one for each TILE members or TILE_BYTES.
     sizes = in_block.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n_bytes") / TILE_BYTES)).cast("long").alias("tiles"))
     sizes = materialise(sizes.where("tiles > 1"), "tiles")
     if sizes.count() <= BROADCAST_ROWS:
         sizes = F.broadcast(sizes)
     placed = in_block.join(sizes, "block", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(F.col("own") <= k, 0).otherwise(1).alias("side")))
-    placed = placed.withColumn("x", F.explode(others)).select("block", "rep", "copies", "blocks", "x.i", "x.j", "x.side")
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("_text")).join(member.select("rep"), "rep", "left_semi")
-    wide = placed.join(texts, "rep")
-    wide = wide.select("block", "i", "j", "side", "rep", "copies", "blocks", "_text")
-    compared = wide.groupBy("block", "i", "j").applyInPandas(lambda g: compare_tile(g, threshold), "rep long, links long, root long")
+    placed = placed.withColumn("x", F.explode(others)).select("block", "node", "rep", "th", "copies", "blocks", "x.i", "x.j", "x.side")
+    texts = docs.select(F.col("doc_id").alias("rep"), "th", F.col("text").alias("_text")).join(member.select("rep", "th"), ["rep", "th"], "left_semi")
+    texts = texts.dropDuplicates(["rep", "th"])  # equal rows
+    wide = placed.join(texts, ["rep", "th"]).select("block", "i", "j", "side", "node", "copies", "blocks", "_text")
+    compared = wide.groupBy("block", "i", "j").applyInPandas(lambda g: compare_tile(g, threshold), "node long, links long, root long")
     compared = materialise(compared, "links")
 
-    links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots_of = components(compared.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    result = classes.select("set_hash", "rep", "copies").join(links, "rep", "left").join(roots_of.withColumnRenamed("node", "rep"), "rep", "left")
-    result = result.select("set_hash", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    keyed = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
+    links = compared.groupBy("node").agg(F.sum("links").alias("links"))
+    labels = components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = materialise(labels.join(links, "node").join(classes.select("node", "rep"), "node"), "linked")
+    ids = materialise(linked.groupBy("root").agg(F.min("rep").alias("class_id")), "class_ids")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    linked = linked.join(ids, "root").select("node", "root", "class_id", "links")
+    result = classes.select("set_hash", "node", "rep", "copies").join(linked, "node", "left")
+    result = result.select("set_hash", F.coalesce("root", "node").alias("class"), F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    keyed = signed.select("doc_id", "th", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
     out = keyed.join(result, "set_hash", "left")
-    return out.select("doc_id", "class_id", "copy_id", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "class_id", "copy_id", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th", "class")
+
+
+def join_similar(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET) -> DataFrame:
+    """A row for each row of docs: doc_id, class_id (the least doc_id of what is linked, step by step), copy_id (the least with the same shingle set),
+    n_copies (rows with the same set) and n_links (other rows whose sets have a Jaccard similarity of threshold or more).
+
+    docs: doc_id (integer), text. A text of fewer words than a shingle has one shingle of them all; texts without words (null, empty) are copies of one
+    another and of nothing else. A row with a null doc_id counts in no class: class_id is null, n_copies and n_links 0. Repeated rows are
+    copies. Rows with one doc_id and different texts are told apart (classes that have their least id in common bear the same
+    class_id). Texts are read whole. Empty table: no rows. Other columns are not read.
+    """
+    return with_classes(docs, threshold, trees, target).drop("th", "class")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class of join_similar(): that with the class's id. Rows with a null doc_id all stay; equal rows stay once."""
-    ids = join_similar(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    mark = unique_name(docs, "_text_hash")
-    some = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn(mark, F.xxhash64("text"))
-    return some.dropDuplicates(["doc_id", mark]).drop(mark).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class of join_similar(): one with the class's id. Rows with a null doc_id all stay."""
+    rows = with_classes(docs, THRESHOLD, TREES, TARGET).where("doc_id = class_id")
+    chosen = rows.groupBy("class", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    chosen = materialise(chosen.groupBy("class").agg(F.min(F.struct("doc_id", "th", "n")).alias("x")).select("x.*"), "chosen")
+    mark, names = unique_name(docs, "_text_hash"), [unique_name(docs, f"_kept_{c}") for c in ("doc_id", "th", "n")]
+    ids = chosen.toDF(*names)
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col(names[0])) & (F.col(mark) == F.col(names[1]))
+    out = marked.join(ids.where(F.col(names[2]) == 1), same, "left_semi")
+    repeated = ids.where(F.col(names[2]) > 1)
+    if not repeated.isEmpty():  # equal rows stay once
+        out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["doc_id", mark]))
+    return out.drop(mark).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,34 +21,64 @@ def shingles(text):
 def brute(rows):
     """doc_id -> (class_id, n_links), comparing all pairs."""
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
-    links, parent = Counter(), {i: i for i, _ in sets}
+    links, parent = Counter(), list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    out = []
-    for a, (i, x) in enumerate(sets):
+    for a, (_, x) in enumerate(sets):
         for b in range(a):
-            j, y = sets[b]
+            y = sets[b][1]
             if x == y or x and y and len(x & y) >= 0.8 * len(x | y) - 1e-9:
                 links[a] += 1
                 links[b] += 1
-                p, q = sorted((find(i), find(j)))
-                parent[q] = p
+                parent[find(a)] = find(b)
+    least = {}
     for a, (i, _) in enumerate(sets):
-        out.append((i, find(i), links[a]))
-    return sorted(out)
+        least[find(a)] = min(i, least.get(find(a), i))
+    return sorted((i, least[find(a)], links[a]) for a, (i, _) in enumerate(sets))
 
 
 def got(df):
     return sorted((r.doc_id, r.class_id, r.n_links) for r in df.where("doc_id IS NOT NULL").collect())
 
 
-def test_prefix_length():
-    r = jaccard.prefix_length(0.8)
-    assert 1 - (1 - 0.8**r) ** jaccard.TREES >= jaccard.TARGET > 1 - (1 - 0.8 ** (r + 1)) ** jaccard.TREES
+def test_prefixes_are_shortened_until_the_target():
+    least = jaccard.least_depth(0.8, 32, 0.9999)
+    same = jaccard.shortened({}, 0.8, 32, 0.9999)
+    assert 1 - jaccard.miss(0.8, same) >= 0.9999 and min(same) >= least
+    longer = [d + (i == same.index(min(same))) for i, d in enumerate(same)]
+    assert 1 - jaccard.miss(0.8, longer) < 0.9999
+    # A tree whose short prefixes are crowded keeps longer ones.
+    crowded = {(t, d): 10.0 ** (9 if t == 3 else 2) * 2.0 ** (10 - d) for t in range(32) for d in range(least, 11)}
+    depths = jaccard.shortened(crowded, 0.8, 32, 0.9999)
+    assert depths[3] == 10 and 1 - jaccard.miss(0.8, depths) >= 0.9999
+
+
+def test_repeated_ids_lose_no_link(spark):
+    rnd = random.Random(3)
+    a, b = random_text(rnd, 500, 10**6), random_text(rnd, 500, 10**6)
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (9, b + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard.join_similar(docs)) == brute(rows) == [(5, 5, 1), (5, 5, 2), (7, 5, 1), (9, 5, 2), (9, 5, 2)]
+    assert sorted(r.text for r in jaccard.keep_one(docs).collect()) == sorted([a, b])
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs with a similarity just above the threshold, all found."""
+    rnd, rows = random.Random(8), []
+    for i in range(150):
+        words = [f"w{i}_{k}" for k in range(240)]
+        other = list(words)
+        for k in rnd.sample(range(3, 237, 6), 5):  # each change costs up to five shingles on either side
+            other[k] += "x"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    js = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)]
+    assert 0.8 <= min(js) and max(js) < 0.85
+    out = got(jaccard.join_similar(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(n for _, _, n in out) >= 0.99 * len(rows)
 
 
 def test_documents_against_all_pairs(spark, medium):
@@ -105,7 +135,7 @@ def test_signatures_estimate_similarity():
     codes, names = jaccard.coded(flat)
     starts, hashes = jaccard.distinct_per_row(*jaccard.shingle_hashes(offsets, codes, names))
     x, y = shingles(texts[0].as_py()), shingles(texts[1].as_py())
-    keys = jaccard.signatures(starts, hashes, 600, 1)
+    keys = jaccard.signatures(starts, hashes, 600, 1)[:, :, 0]
     j = len(x & y) / len(x | y)
     assert math.isclose((keys[0] == keys[1]).mean(), j, abs_tol=0.08)
 
