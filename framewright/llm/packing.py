@@ -1,9 +1,9 @@
 """Packing of documents into fixed windows by non-negative least squares over length combinations.
 
-The histogram of piece lengths is all that the plan depends on. Combinations of a few lengths that fill a window are the
-columns of A; x >= 0 minimises |A x - histogram|; x rounded says how often each combination is used, and what the histogram
-has left over is packed greedily, largest first. A plan names places by (length, rank among pieces of that length), so the
-pieces find theirs side by side.
+The histogram of piece lengths is all that the plan depends on. Combinations of a few lengths that fill a window exactly are the
+columns of A; x >= 0 minimises |A x - histogram|, each length weighted by its tokens, and x rounded says how often each combination is
+used. What rounding leaves is fitted again with combinations of its own, until hardly anything is left, which is packed greedily,
+largest first. A plan names places by (length, rank among pieces of that length), so the pieces find theirs side by side.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from framewright.llm.common import by_bytes, filled, kept, numbered, ranked, table
 
 WINDOW, END = 4096, 2
+#: Members of a combination at most, combinations of each size for each length, and how often further ones are sought.
+MEMBERS, CHOICES, MORE = 6, 10, 4
+GOLDEN = (5**0.5 - 1) / 2
 #: Distinct words that a worker remembers before it starts afresh.
 CACHED, SHORT = 600_000, 8
 #: Bytes of text worked on at once.
@@ -29,6 +32,17 @@ SLICE = 2 << 20
 SIGNS = ".,!?;:#*$%&|<>()[]"
 
 
+# The normaliser and splitter that a vocabulary's file must have for what WordTokenizer does word by word.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordTokenizer:
     """Token ids (little-endian uint32 bytes) of texts as the tokenizers library gives them, remembered word by word.
 
@@ -39,12 +53,14 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if [spec[k] for k in ("normalizer", "pre_tokenizer")] != [NORMALISER, SPLITTER] or spec["model"].get("end_of_word_suffix") != "</w>" or spec["model"]["type"] != "BPE":
+            raise ValueError(f"{path}: not a lower-case BPE vocabulary with word ends")
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         # For words of letters only, which no normaliser or pattern would change or cut: the byte alphabet and the merges alone.
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.bare = Tokenizer.from_str(json.dumps(spec))
 
@@ -144,69 +160,108 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, kee
 # --- the plan -----------------------------------------------------------------------------------------------------------
 
 
-def combinations(histogram: np.ndarray, window: int, probes: int = 5) -> list[tuple[int, ...]]:
-    """Combinations of at most five present lengths that fill the window exactly, or all but a 64th part of it.
+def combinations(weight: np.ndarray, left: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """Combinations of two to MEMBERS present lengths that fill the window exactly, one in each row (0: no member), sorted and distinct.
 
-    For each length: with itself as often as it goes, with each other length, and with one to three of the lengths that stand
-    at even quantiles of the histogram, the last member being the one that fills the rest.
+    Each length below the window is the first member of some of each size; the others but the last stand at quantiles of the weight,
+    evenly spread by multiples of the golden ratio; the last fills the rest, if that length is present.
     """
-    present = np.flatnonzero(histogram[: window + 1])
-    present = present[present > 0]
+    present = np.flatnonzero(left[:window])
     if not len(present):
-        return []
-    # The largest present length up to each gap.
-    fit = np.zeros(window + 1, np.int64)
-    fit[present] = present
-    fit = np.maximum.accumulate(fit)
-    mass = np.cumsum(histogram[present])
-    marks = sorted({int(present[np.searchsorted(mass, mass[-1] * (k + 0.5) / probes)]) for k in range(probes)})
-    heads = [()] + [(a,) for a in marks] + [(a, b) for a in marks for b in marks if a <= b] + [(a, b, c) for a in marks for b in marks for c in marks if a <= b <= c]
-    out = {(window,)} if histogram[window] else set()
-    slack = window // 64
-    for head in heads:
-        base = sum(head)
-        if base >= window:
-            continue
-        for a in present.tolist():
-            gap = window - base - a
-            if gap < 0:
+        return np.zeros((0, MEMBERS), np.int64)
+    share = np.maximum(weight[present], 0.0)
+    share = np.cumsum(share if share.sum() > 0 else np.ones(len(present)))
+    share /= share[-1]
+    out = []
+    for size in range(2, MEMBERS + 1):
+        first = np.repeat(present, CHOICES if size > 2 else 1)
+        n = np.arange(len(first)) + 1.0
+        members = [first, *(present[np.minimum(np.searchsorted(share, (n * GOLDEN**k + GOLDEN * (seed + k)) % 1.0), len(present) - 1)] for k in range(1, size - 1))]
+        rest = window - sum(members)
+        fits = np.flatnonzero((rest > 0) & (left[np.clip(rest, 0, window - 1)] > 0))
+        out.append(np.pad(np.column_stack([*members, rest])[fits], ((0, 0), (0, MEMBERS - size))))
+    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+
+
+def nnls(columns: np.ndarray, target: np.ndarray, x: np.ndarray, tolerance: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
+    """x >= 0 that minimises the sum of length * (A x - target)^2, column j of A counting the members of columns[j], from a first x.
+
+    Accelerated projected gradients with restarts, on columns scaled to one norm. Also given: the residual, and how far x is from
+    the Kuhn-Tucker conditions (no gradient where x > 0, none downhill where x = 0), as a share of the target's norm; it ends at the tolerance.
+    """
+    real = (columns > 0).astype(float)
+    weight = np.arange(len(target), dtype=float)
+    product = lambda x: np.bincount(columns.ravel(), (real * x[:, None]).ravel(), len(target))
+    transposed = lambda r: ((weight * r)[columns] * real).sum(axis=1)
+    scale = 1 / np.sqrt(transposed(np.ones(len(target))))
+    norm, v = 1.0, np.full(len(columns), len(columns) ** -0.5)
+    for _ in range(20):  # the largest singular value
+        v = scale * transposed(product(scale * v))
+        norm = float(np.linalg.norm(v))
+        v /= norm
+    step, size = 1 / (1.1 * norm), np.sqrt((weight * target * target).sum())
+    y = z = x / scale
+    t = 1.0
+    for k in range(rounds):
+        new = np.maximum(0.0, z - step * scale * transposed(product(scale * z) - target))
+        if ((z - new) * (new - y)).sum() > 0:
+            t = 1.0
+        ahead = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, y, t = new + (t - 1) / ahead * (new - y), new, ahead
+        if k % 20 == 19 or k == rounds - 1:
+            r = target - product(scale * y)
+            gradient = scale * transposed(r)
+            off = float(np.abs(np.where(y > 0, gradient, np.maximum(0.0, gradient))).max() / max(size, 1e-12))
+            if off <= tolerance:
                 break
-            last = int(fit[gap])
-            if gap - last <= slack:
-                out.add(tuple(sorted((*head, a, *((last,) if last else ())))))
-    return sorted(out)
-
-
-def nnls(columns: list[tuple[int, ...]], target: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """x >= 0 that minimises |A x - target|, column j of A counting the members of columns[j], by Lee and Seung's updates."""
-    width = max(map(len, columns))
-    at = np.zeros((len(columns), width), np.int64)
-    weight = np.zeros((len(columns), width))
-    for j, c in enumerate(columns):
-        at[j, : len(c)], weight[j, : len(c)] = c, 1.0
-    high = (target[at] * weight).sum(axis=1)
-    x = high / len(columns)
-    for _ in range(rounds):
-        fitted = np.bincount(at.ravel(), (weight * x[:, None]).ravel(), minlength=len(target))
-        x *= high / np.maximum((fitted[at] * weight).sum(axis=1), 1e-12)
-    return x
-
-
-def rounded(columns: list[tuple[int, ...]], x: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Whole numbers of windows for x, taken from left as far as it goes: the running total of x is rounded, so many small x count too."""
-    total = np.floor(np.cumsum(x) + 0.5).astype(np.int64)
-    times, out = np.diff(total, prepend=0), []
-    for j in np.flatnonzero(times):
-        used: dict[int, int] = {}
-        for length in columns[j]:
-            used[length] = used.get(length, 0) + 1
-        if n := min(int(times[j]), *(int(left[length]) // k for length, k in used.items())):
-            out.append((columns[j], n))
-            for length, k in used.items():
-                left[length] -= n * k
+    return scale * y, r, off
+
+
+def rounded(columns: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole numbers of windows for x, taken from left: first the whole part of each, then one more by the size of the fractions, as far as left goes."""
+    whole, out = np.floor(x + 1e-9).astype(np.int64), []
+    part = x - whole
+    first = np.argsort(-whole, kind="stable")
+    second = np.argsort(-part, kind="stable")
+    for order, times in ((first[whole[first] > 0], whole), (second[part[second] > 1e-6], np.ones(len(x), np.int64))):
+        for j in order.tolist():
+            members = tuple(int(m) for m in columns[j] if m)
+            used = {m: members.count(m) for m in members}
+            n = min(int(times[j]), *(int(left[m]) // k for m, k in used.items()))
+            if n:
+                out.append((members, n))
+                for m, k in used.items():
+                    left[m] -= n * k
     return out
 
 
+def fitted(left: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
+    """Windows by least squares, taken from left: fitted and rounded again while that places a 100th of what there was and more than that is left."""
+    chosen, tokens = [], np.arange(len(left))
+    if left[window]:
+        chosen.append(((window,), int(left[window])))
+        left[window] = 0
+    every = int((left * tokens).sum())
+    seed, before = 0, 2 * every + 1
+    while every and 100 * (now := int((left * tokens).sum())) > every and 100 * (before - now) >= every:
+        before, target = now, left.astype(float)
+        columns = combinations(target, left, window, seed)
+        if not len(columns):
+            break
+        x, r, _ = nnls(columns, target, np.zeros(len(columns)))
+        for _ in range(MORE):  # combinations of what does not fit yet
+            if (np.abs(r) * tokens).sum() <= 0.01 * now:
+                break
+            seed += 1
+            some = x > 1e-6
+            new = np.concatenate([columns[some], combinations(r, left, window, seed)])
+            columns, at = np.unique(new, axis=0, return_index=True)
+            x, r, _ = nnls(columns, target, np.append(x[some], np.zeros(len(new)))[at])
+        chosen += rounded(columns, x, left)
+        seed += 1
+    return chosen
+
+
 def greedy(left: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
     """Windows for what is left, by length counts: the largest length first, then whatever fits best, as often as the counts allow."""
     left, out = left.copy(), []
@@ -246,10 +301,8 @@ class Plan:
 
 def plan(histogram: np.ndarray, window: int = WINDOW) -> Plan:
     """histogram[length]: number of pieces. Its cost depends on the window only, not on how many pieces there are."""
-    left, chosen = histogram.astype(np.int64).copy(), []
-    columns = combinations(left, window)
-    if columns:
-        chosen += rounded(columns, nnls(columns, left.astype(np.float64)), left)
+    left = histogram.astype(np.int64).copy()
+    chosen = fitted(left, window)
     chosen += greedy(left, window)
     first: dict[int, list[int]] = {}
     base: dict[int, list[int]] = {}

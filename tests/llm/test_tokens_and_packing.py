@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -122,17 +123,42 @@ def test_plans_use_every_piece_once():
     assert load.sum() / (64 * plan.sequences) > 0.98
 
 
-def test_least_squares_fit_falls():
+def test_least_squares_meet_the_kuhn_tucker_conditions():
     rng = np.random.default_rng(4)
-    histogram = rng.integers(1, 50, 33)
+    histogram = rng.integers(1, 50, 129).astype(float)
     histogram[0] = 0
-    columns = packing.combinations(histogram, 32)
-    x = packing.nnls(columns, histogram.astype(float), rounds=200)
-    fitted = np.zeros(33)
-    for c, n in zip(columns, x, strict=True):
-        for length in c:
-            fitted[length] += n
-    assert (x >= 0).all() and np.linalg.norm(fitted - histogram) < 0.35 * np.linalg.norm(histogram)
+    columns = packing.combinations(histogram, histogram, 128, 0)
+    assert ((columns.sum(axis=1) == 128) & ((columns > 0).sum(axis=1) <= packing.MEMBERS)).all()
+    x, r, off = packing.nnls(columns, histogram, np.zeros(len(columns)), 1e-6, 20_000)
+    a = np.zeros((129, len(columns)))
+    for j, c in enumerate(columns):
+        for length in c[c > 0]:
+            a[length, j] += 1
+    w = np.arange(129)
+    assert np.allclose(r, histogram - a @ x) and (x >= 0).all() and off <= 1e-6
+    gradient = a.T @ (w * r)
+    size = np.sqrt((w * histogram**2).sum() * (a * a * w[:, None]).sum(axis=0).max())
+    assert gradient.max() < 1e-4 * size and np.abs(gradient[x > 0]).max() < 1e-4 * size
+
+
+def test_least_squares_place_nearly_all(spark):
+    """Of the tokens of the larger table, 90 % at least are placed by least squares, and windows are full."""
+    n = Counter()
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    for r in packing.pieces(docs, WORDS).groupBy("length").count().collect():
+        n[r["length"]] = r["count"]
+    histogram = np.asarray([n[k] for k in range(packing.WINDOW + 1)], np.int64)
+    left, tokens = histogram.copy(), np.arange(packing.WINDOW + 1)
+    chosen = packing.fitted(left, packing.WINDOW)
+    assert all(sum(c) == packing.WINDOW for c, _ in chosen)
+    assert sum(times * sum(c) for c, times in chosen) + (left * tokens).sum() == (histogram * tokens).sum()
+    assert (left * tokens).sum() < 0.1 * (histogram * tokens).sum()
+    assert (histogram * tokens).sum() / packing.WINDOW / packing.plan(histogram).sequences > 0.999
+
+
+def test_other_word_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        packing.WordTokenizer(BYTES)
 
 
 def test_op5_over_the_whole_table(spark, small):
