@@ -1,6 +1,7 @@
 import html
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 from cases import no_documents, odd_documents, random_text
@@ -51,11 +52,98 @@ def test_odd_pages(spark):
     assert text_of([], spark) == {}
 
 
-def test_wrappers_align(spark):
-    a = htmlwrap.wrapper_of(htmlwrap.parse("<div><h1>x</h1><p>a</p><p>b</p></div>"))
-    b = htmlwrap.wrapper_of(htmlwrap.parse("<div><h1>y</h1><img><p>a</p></div>"))
-    assert htmlwrap.expression(htmlwrap.merged(a, b)) == "<div><h1>#text</h1>(<img></img>)?(<p>#text</p>)+</div>"
-    assert htmlwrap.expression(htmlwrap.merged(b, a)) == htmlwrap.expression(htmlwrap.merged(a, b))
+def wrapper(*pages):
+    return htmlwrap.wrapper_of([htmlwrap.parse(p) for p in pages])
+
+
+def test_wrappers_align():
+    a, b = "<div class=x><h1>x</h1><p>a</p><p>b</p></div>", "<div class=x><h1>y</h1><img><p>a</p></div>"
+    want = "<div.x><h1>#text</h1>(<img></img>)?(<p>#text</p>)+</div>"
+    assert htmlwrap.expression(wrapper(a, b)) == htmlwrap.expression(wrapper(b, a)) == want
+    both = wrapper(a, b)
+    assert htmlwrap.written(htmlwrap.read(htmlwrap.written(both))) == htmlwrap.written(both) == htmlwrap.written(htmlwrap.wrapper_of([both, wrapper(a)]))
+
+
+def test_matches_are_common_subsequences(monkeypatch):
+    rnd = random.Random(6)
+    for pairs in (40_000, 0):
+        monkeypatch.setattr(htmlwrap, "PAIRS", pairs)
+        for _ in range(200):
+            a, b = ([rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 12))] for _ in range(2))
+            got = htmlwrap.matches(a, b)
+            assert all(a[i] == b[j] for i, j in got) and all(p < q and r < s for (p, r), (q, s) in zip(got, got[1:], strict=False))
+            if pairs:
+                longest = [[0] * 13 for _ in range(13)]
+                for i, x in enumerate(a):
+                    for j, y in enumerate(b):
+                        longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+                assert len(got) == longest[len(a)][len(b)]
+
+
+def test_deep_and_wide_pages(spark):
+    deep = ["<div>" * n + "deep" + "</div>" * n for n in (20_000, 19_999)]
+    wide = ["".join(f"<p class=c{(k * step) % 9973}>w{k}</p>" for k in range(5_000)) for step in (1, 7)]
+    pages = [(i, f"http://{'ab'[i // 2]}/", p, "", 1) for i, p in enumerate(deep + wide)]
+    got = text_of(pages, spark)
+    assert got[0] == got[1] == "deep" and all(len(got[i].split()) == 5_000 for i in (2, 3))
+
+
+#: No element or class says what it is.
+PLAIN = """<html><body><div class="q1"><div><a href="/">Home</a></div><div><a href="/x">News {i}</a></div><div><a href="/y">More {j}</a></div></div>
+<div class="z7">We value your privacy and store things on your machine.</div>
+<div class="k3">{extra}<div class="h9">Heading {i}</div><div class="b2">Body number {i} says <b>a few things</b> that no other page says, {words}.</div>
+<div class="b2">A second part, {words}.</div></div><div class="w5">All rights are reserved by the owners of this site.</div></body></html>"""
+
+
+def plain_pages(hosts=("p.example",), n=5):
+    out = []
+    for h, host in enumerate(hosts):
+        for i in range(n):
+            words = " ".join(f"v{i * 31 + k}" for k in range(20))
+            out.append((100 * h + i, f"http://{host}/{i}", PLAIN.format(i=i, j=i * i, words=words, extra='<div class="m4"><img></div>' if i % 2 else ""), "", 1))
+    return out
+
+
+def plain_text(i):
+    words = " ".join(f"v{i * 31 + k}" for k in range(20))
+    return f"Heading {i}\nBody number {i} says a few things that no other page says, {words}.\nA second part, {words}."
+
+
+def test_wrappers_find_articles_without_marks(spark):
+    """Menus, notices and footers without tell-tale names go by variation and links; also from among copies of one page."""
+    pages = plain_pages()
+    got = text_of(pages + [(50 + k, "http://p.example/0", pages[0][2], "", 1) for k in range(3)], spark)
+    assert got == {i: plain_text(i) for i in range(5)} | {50 + k: plain_text(0) for k in range(3)}
+
+
+def test_without_alignment_articles_are_not_found(monkeypatch):
+    """Slots of groups that only some pages have are known by alignment alone."""
+    roots = [htmlwrap.parse(h.replace('class="k3"', 'class="k3"' if i % 2 else 'class="k4"')) for i, _, h, _, _ in plain_pages()]
+    varying = Counter()
+    for r in roots:
+        varying.update({path: len(text) for path, _, text, links in htmlwrap.blocks_of(r) if not links and ("number" in text or "Heading" in text)})
+
+    def found():
+        slots, others = htmlwrap.article_slots(htmlwrap.wrapper_of(roots), varying, {})
+        return [bool(htmlwrap.main_text(r, slots & set(varying), others & set(varying))) for r in roots]
+
+    assert found() == [True] * 5
+    monkeypatch.setattr(htmlwrap, "aligned", lambda a, b: a)  # the first page alone
+    assert found() == [True, False] * 2 + [True]
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    """Pages that hold the same article under other menus keep it."""
+    body = " ".join(f"word{k}" for k in range(200))
+    pages = [(i, "http://c.example/", f"<body><div class=a><a>{i} link</a></div><div class=b><p>{body}</p></div></body>", "", 1) for i in range(4)]
+    assert all(body in t for t in text_of(pages, spark).values())
+
+
+def test_wrappers_do_not_depend_on_the_layout(spark, monkeypatch):
+    rows = spark.createDataFrame(plain_pages(("a.x", "b.x"), 12), "page_id long, url string, html string, text string, host int")
+    few = {r.page_id: r.text for r in htmlwrap.extract(rows.coalesce(1)).collect()}
+    monkeypatch.setattr(htmlwrap, "TOGETHER", 2)
+    assert few == {r.page_id: r.text for r in htmlwrap.extract(rows.repartition(7)).collect()}
 
 
 # --- decontamination ----------------------------------------------------------------------------------------------------------
