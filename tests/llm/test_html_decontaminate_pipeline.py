@@ -118,7 +118,7 @@ def test_wrappers_find_articles_without_marks(spark):
 
 def test_without_alignment_articles_are_not_found(monkeypatch):
     """Slots of groups that only some pages have are known by alignment alone."""
-    roots = [htmlwrap.parse(h.replace('class="k3"', 'class="k3"' if i % 2 else 'class="k4"')) for i, _, h, _, _ in plain_pages()]
+    roots = [htmlwrap.parse(h.replace('class="k3"', 'class="kx"' if i % 2 else 'class="ky"')) for i, _, h, _, _ in plain_pages()]
     varying = Counter()
     for r in roots:
         varying.update({path: len(text) for path, _, text, links in htmlwrap.blocks_of(r) if not links and ("number" in text or "Heading" in text)})
