@@ -3,6 +3,9 @@
 Numbers, names and units become typed placeholders, so a question with other numbers or names has the same template. Windows of
 template words are joined by hash with those of the benchmark; the values that stand in the slots of matched windows must
 then map consistently: one value of the item to one value of the document, over all matches or over those of one alignment.
+
+A name shows by its capital, so a second template takes names for plain words, whatever their case: text in capitals or title case
+meets the benchmark there. Windows without a name are the same in both.
 """
 
 from __future__ import annotations
@@ -10,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import materialise, table
+from framewright.llm.common import materialise, table, unique_name
 
 WINDOW = 5
-#: A window needs so many words that are no placeholders.
-LITERALS = 2
+#: A window needs so many words that are no placeholders; an item so many words.
+LITERALS, SHORTEST = 2, 3
 #: A document holds an item if it has so many of its windows: half of them, but at least 3 and at most 8 (of up to 3 windows: all).
 SHARE, FEWEST, ENOUGH = 0.5, 3, 8
 #: Of an item's slot values, so many must each map to one value of the document.
@@ -47,81 +50,106 @@ def unmarked(text: F.Column) -> F.Column:
     return F.when(some, F.regexp_replace(text, f"[{NUM}{NAMED}{UNIT}]", "")).otherwise(text)
 
 
-def template_words(text: F.Column) -> F.Column:
-    """The words of a text's template: lower case, without signs, with placeholders.
+def marked_words(text: F.Column) -> F.Column:
+    """The words of a text in lower case without signs; a name, a number and a unit behind a number have their placeholder before them.
 
-    A name is a capitalised word that doesn't begin a sentence; a unit is a unit's word behind a number.
+    A name is a capitalised word that doesn't begin a sentence.
     """
-    t = F.regexp_replace(unmarked(text), r"(?<=[\p{L}\p{N},;)'])([\x20\x09-\x0D]+)\p{Lu}[\p{L}\p{M}'’-]*", f"$1{NAMED}")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\d[\d.,:/]*", NUM)
-    t = F.when(F.contains(t, F.lit(NUM)), F.regexp_replace(t, f"(?i){NUM}([\\x20\\x09-\\x0D]*)(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"{NUM}$1{UNIT}")).otherwise(t)
+    t = F.regexp_replace(unmarked(text), r"(?<=[\p{L}\p{N},;)'])([\x20\x09-\x0D]+)(?=\p{Lu})", f"$1{NAMED}")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\d[\d.,:/]*)", f"{NUM}$1")
+    t = F.when(F.contains(t, F.lit(NUM)), F.regexp_replace(t, f"(?i)({NUM}\\d[\\d.,:/]*[\\x20\\x09-\\x0D]*)({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}$2")).otherwise(t)
     return split_kept(t, NUM + NAMED + UNIT)
 
 
-def raw_words(text: F.Column) -> F.Column:
-    """What stands in the text at the places of its template's words."""
-    return split_kept(unmarked(text))
+def template_word(word: F.Column, names: bool) -> F.Column:
+    """A word of the template, from a marked one. names: a name is a slot, else its word."""
+    name = F.lit(NAMED) if names else F.substring(word, 2, 1 << 30)
+    return F.when(word < NUM, word).when(F.startswith(word, F.lit(NAMED)), name).when(is_slot(word), F.regexp_replace(word, f"{NUM}\\d*|(?<={UNIT}).*", NUM)).otherwise(word)
 
 
 def is_slot(word: F.Column) -> F.Column:
     return F.substring(word, 1, 1).between(NUM, UNIT)
 
 
-def windows(template: F.Column, window: int, literals: int) -> F.Column:
-    """(at, h) for each window with enough literal words; at counts from 1."""
-    last = F.size(template) - window + 1
-    # The literals up to each place would need a running sum; five tests a window are cheaper.
-    parts = lambda i: [F.get(template, i - 1 + k) for k in range(window)]
-    every = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("at"), F.xxhash64(*parts(i)).alias("h"))))
-    enough = lambda w: sum((F.when(is_slot(p), 0).otherwise(1) for p in parts(w["at"])), F.lit(0)) >= literals
-    return every, enough
+def is_name(word: F.Column) -> F.Column:
+    return F.startswith(word, F.lit(NAMED))
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """item_id, ipos, h, slots (place in the window, value) and n_windows for each window of the benchmark."""
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").select("item_id", template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("r"))
-    every, enough = windows(F.col("t"), window, literals)
-    items = items.select("item_id", "t", "r", F.filter(F.coalesce(every, F.array().cast("array<struct<at:int,h:bigint>>")), enough).alias("w"))
-    ks = F.array(*(F.lit(k) for k in range(window)))
-    slots = F.transform(F.filter(ks, lambda k: is_slot(F.get(F.col("t"), F.col("x.at") - 1 + k))), lambda k: F.struct(k.alias("k"), F.coalesce(F.get(F.col("r"), F.col("x.at") - 1 + k), F.lit("")).alias("v")))
-    return items.select("item_id", F.size("w").cast("long").alias("n_windows"), F.explode("w").alias("x"), "t", "r").select("item_id", "n_windows", F.col("x.at").alias("ipos"), F.col("x.h").alias("h"), slots.alias("slots"))
+def window_hashes(words: F.Column, window: int) -> F.Column:
+    """(at, h) for each window of marked words, at counting from 1: by the template, and where it has a name, by that without names."""
+    last = F.size(words) - window + 1
+    both = F.transform(words, lambda w: F.struct(template_word(w, True).alias("t"), template_word(w, False).alias("p")))
+    parts = lambda x, i, of: [F.get(x, i - 1 + k)[of] for k in range(window)]
+
+    def every(x: F.Column) -> F.Column:
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("at"), F.xxhash64(*parts(x, i, "t")).alias("h"), F.xxhash64(*parts(x, i, "p")).alias("p")))
+
+    def apart(x: F.Column) -> F.Column:
+        named = F.transform(F.filter(x, lambda w: w["h"] != w["p"]), lambda w: F.struct(w["at"].alias("at"), w["p"].alias("h")))
+        return F.concat(F.transform(x, lambda w: F.struct(w["at"].alias("at"), w["h"].alias("h"))), named)
 
+    # One-element arrays stand for variables, so what is long is worked out once.
+    return F.when(last >= 1, F.flatten(F.transform(F.transform(F.array(both), every), apart)))
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+
+def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """item_id, ipos, h, width, slots (place in the window, value) and n_windows for each window of the benchmark with enough literal words.
+
+    An item of SHORTEST words or more that is shorter than a window has one window of all its words.
+    """
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").select("item_id", marked_words(F.col("text")).alias("w"))
+    items = items.withColumn("width", F.least(F.lit(window), F.size("w"))).where(F.col("width") >= min(window, SHORTEST))
+    items = items.withColumn("ipos", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("width") + 1))).withColumn("named", F.explode(F.array(F.lit(True), F.lit(False))))
+    items = items.withColumn("part", F.slice("w", F.col("ipos"), F.col("width")))
+    slot = lambda x: F.when(F.col("named"), is_slot(x)).otherwise(is_slot(x) & ~is_name(x))
+    word = lambda x: F.when(F.col("named"), template_word(x, True)).otherwise(template_word(x, False))
+    items = items.withColumn("t", F.transform("part", word)).withColumn("s", F.transform("part", slot))
+    items = items.where(F.size(F.filter("s", lambda x: ~x)) >= literals)
+    h = F.lit(None).cast("long")
+    for n in range(min(window, SHORTEST), window + 1):
+        h = F.when(F.col("width") == n, F.xxhash64(*(F.get("t", F.lit(k)) for k in range(n)))).otherwise(h)
+    slots = F.filter(F.transform("part", lambda x, k: F.struct(k.alias("k"), value_of(x).alias("v"), F.get("s", k).alias("s"))), lambda x: x["s"])
+    slots = F.transform(slots, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
+    items = items.select("item_id", "ipos", "width", h.alias("h"), slots.alias("slots")).distinct()
+    sizes = items.groupBy(F.col("item_id").alias("_item")).agg(F.countDistinct("ipos").alias("n_windows"))
+    return items.join(sizes, F.col("item_id") == F.col("_item")).drop("_item")
+
+
+def value_of(word: F.Column) -> F.Column:
+    """What stands in the text at a marked word."""
+    return F.regexp_replace(word, f"[{NUM}{NAMED}{UNIT}]", "")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, coverage, n_slots, n_changed for each item that a document holds.
 
-    Null and empty texts, and texts or items of fewer words than a window, hold nothing. Items with equal texts are each reported.
+    share, enough: the part of an item's windows that a document must have, and the number that is enough of any item. Null and empty texts
+    hold nothing. An item shorter than a window is sought by its whole template; of fewer than SHORTEST words, or without a window
+    of enough literal words, it can't be told from chance and is not sought. Items with equal texts are each reported.
     A document that holds an item several times, with other values each time, is judged by each alignment; the figures are those of all matches
     if these are consistent, else of the alignment with the most windows. Rows with one doc_id and the same text are reported once; null ids are ids. Texts are read whole. Empty tables: no rows. Other columns are not read.
 
     The documents' windows meet the benchmark's where they are made, while the benchmark is small enough to broadcast; only
-    matches are shuffled, by document and item, and a group holds an item's windows at most.
+    matches, with the words of their windows, are shuffled, by document and item, and a group holds an item's windows at most.
     """
-    index = item_windows(benchmark, window, literals)
-    size = index.count()
-    near = size <= BROADCAST_ROWS
-    rows = docs.select("doc_id", "text").select("doc_id", "text", template_words(F.col("text")).alias("t"))
-    every, _ = windows(F.col("t"), window, literals)
-    found = rows.select("doc_id", "text", F.explode(every).alias("x"))
-    hash_of = F.xxhash64("text").alias("th")  # texts that share an id are told apart
-    key = ["doc_id", "th", "item_id"]
-    match = F.struct("ipos", "pos", "slots").alias("m")
-    if near:
-        found = found.select("doc_id", "text", F.col("x.at").alias("pos"), F.col("x.h").alias("h")).join(F.broadcast(index), "h").select("doc_id", hash_of, "text", "item_id", "n_windows", match)
-        held = found.groupBy(*key).agg(F.max("n_windows").alias("n_windows"), F.collect_set("m").alias("m"), F.first("text").alias("text"))
-    else:
-        found = found.select("doc_id", hash_of, F.col("x.at").alias("pos"), F.col("x.h").alias("h")).join(index, "h").select("doc_id", "th", "item_id", "n_windows", match)
-        held = found.groupBy(*key).agg(F.max("n_windows").alias("n_windows"), F.collect_set("m").alias("m"))
-    held = held.withColumn("n_matched", F.size(F.array_distinct(F.transform("m", lambda x: x["ipos"]))).cast("long"))
+    index = materialise(item_windows(benchmark, window, literals), "items")
+    widths = {r["width"]: r["n"] for r in index.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most WINDOW rows
+    near = sum(widths.values()) <= BROADCAST_ROWS
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), marked_words(F.col("text")).alias("w"))  # texts that share an id are told apart
+    key, held = ["doc_id", "th", "item_id"], None
+    for width in sorted(widths) or [window]:
+        found = rows.select("doc_id", "th", "w", F.explode(window_hashes(F.col("w"), width)).alias("x"))
+        found = found.select("doc_id", "th", F.col("x.at").alias("pos"), F.col("x.h").alias("h"), F.slice("w", F.col("x.at"), width).alias("part"))
+        of_width = index.where(F.col("width") == width).drop("width")
+        found = found.join(F.broadcast(of_width) if near else of_width, "h")
+        values = F.transform("slots", lambda s: F.struct(s["v"].alias("v"), value_of(F.get(F.col("part"), s["k"])).alias("d")))
+        found = found.select(*key, "n_windows", F.struct("ipos", (F.col("pos") - F.col("ipos")).alias("shift"), values.alias("pairs")).alias("m"))
+        held = found if held is None else held.unionByName(found)
+    held = held.groupBy(*key).agg(F.max("n_windows").alias("n_windows"), F.collect_set("m").alias("x"))
+    held = held.withColumn("n_matched", F.size(F.array_distinct(F.transform("x", lambda x: x["ipos"]))).cast("long"))
     n = F.col("n_windows")
-    least = F.when(n <= FEWEST, n).otherwise(F.least(F.lit(ENOUGH), F.greatest(F.lit(FEWEST), F.ceil(n * SHARE))))
+    least = F.when(n <= FEWEST, n).otherwise(F.least(F.lit(enough), F.greatest(F.lit(FEWEST), F.ceil(n * share))))
     held = held.where(F.col("n_matched") >= least)
-    if not near:
-        texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text").dropDuplicates(["_id", "_th"])
-        held = held.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    held = held.withColumn("r", raw_words(F.col("text")))
-    pairs = lambda x: F.transform(x["slots"], lambda s: F.struct(s["v"].alias("v"), F.coalesce(F.get(F.col("r"), x["pos"] - 1 + s["k"]), F.lit("")).alias("d")))
-    held = held.withColumn("x", F.transform("m", lambda x: F.struct(x["ipos"].alias("ipos"), (x["pos"] - x["ipos"]).alias("shift"), pairs(x).alias("pairs"))))
     held = held.select(*key, "n_windows", F.explode("x").alias("x"))
     shift = F.col("x.shift")
     group = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
@@ -138,10 +166,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
-    ids = materialise(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    leaked = unique_name(docs, "_leaked")
+    ids = materialise(find_leaks(docs, benchmark).select(F.col("doc_id").alias(leaked)).distinct(), "leaked")
     if ids.count() <= BROADCAST_IDS:  # else both sides are shuffled
         ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

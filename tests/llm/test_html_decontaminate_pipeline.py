@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from cases import no_documents, odd_documents, random_text
+from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, htmlwrap, jaccard, packing, quality, toxicity
 from framewright.llm.common import table
@@ -155,14 +156,18 @@ def test_reparameterised_items_are_caught(spark):
     other = ITEM.replace("Paris", "Rome").replace("Alice", "Carol").replace("120", "77").replace("15", "8").replace("9", "11")
     mixed = "A train leaves Paris at 9 with 120 passengers and then nothing of the kind happens to anybody for a long and quiet while in the hills."
     rnd = random.Random(1)
-    docs = [(1, random_text(rnd, 50) + " " + ITEM + " " + random_text(rnd, 50)), (2, "Intro here. " + other), (3, mixed), (4, random_text(rnd, 400)), (5, None), (6, ""), (7, ITEM.upper()), (None, ITEM), (1, random_text(rnd, 10))]
-    benchmark = spark.createDataFrame([(10, ITEM), (11, ITEM), (12, "too short"), (13, None), (None, ITEM)], "item_id long, text string")
+    docs = [(1, random_text(rnd, 50) + " " + ITEM + " " + random_text(rnd, 50)), (2, "Intro here. " + other), (3, mixed), (4, random_text(rnd, 400)), (5, None), (6, ""), (7, ITEM.upper()), (8, ITEM.title()), (None, ITEM), (1, random_text(rnd, 10)), (9, "He asked: who wrote Hamlet? Nobody knew.")]
+    benchmark = spark.createDataFrame([(10, ITEM), (11, ITEM), (12, "too short"), (13, None), (14, "Who wrote Hamlet?"), (15, "12 13 14"), (None, ITEM)], "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     out = decontaminate.find_leaks(frame, benchmark).collect()
-    assert {(r.doc_id, r.item_id) for r in out} == {(d, i) for d in (1, 2, None) for i in (10, 11)}
+    assert {(r.doc_id, r.item_id) for r in out} == {(d, i) for d in (1, 2, 7, 8, None) for i in (10, 11)} | {(9, 14)}
     changed = {r.doc_id: r.n_changed for r in out}
     assert changed[1] == 0 and changed[2] >= 4
-    assert sorted(str(r.doc_id) for r in decontaminate.decontaminate(frame, benchmark).collect()) == ["3", "4", "5", "6", "7"]
+    assert sorted(str(r.doc_id) for r in decontaminate.decontaminate(frame, benchmark).collect()) == ["3", "4", "5", "6"]
+    named = frame.selectExpr("doc_id", "text", "1 as _leaked", "2 as th", "3 as h")
+    assert sorted(str(r.doc_id) for r in decontaminate.decontaminate(named, benchmark).collect()) == ["3", "4", "5", "6"]
+    long = " ".join(f"filler{i}" for i in range(60_000)) + " " + other
+    assert [r.item_id for r in decontaminate.find_leaks(spark.createDataFrame([(1, long)], "doc_id long, text string"), benchmark).collect()] in ([10, 11], [11, 10])
 
 
 def test_inconsistent_slots_are_no_leak(spark):
@@ -201,6 +206,28 @@ def test_planted_items_are_found(spark, medium):
     assert {r.doc_id for r in decontaminate.op1_template_decontamination(spark, medium).collect()} == want
 
 
+def test_marked_words(spark):
+    text = "Then Bob paid 1,000.5 dollars for 12km to O'Neil, Ann. At 9 3rd x9 \ue000 日本 done"
+    row = spark.createDataFrame([(text,)], "text string").select(decontaminate.marked_words(F.col("text")).alias("w")).select("w", F.transform("w", lambda w: decontaminate.template_word(w, True)).alias("t"), F.transform("w", lambda w: decontaminate.template_word(w, False)).alias("p"), F.transform("w", decontaminate.value_of).alias("v")).first()
+    num, name, unit = decontaminate.NUM, decontaminate.NAMED, decontaminate.UNIT
+    assert row.v == ["then", "bob", "paid", "10005", "dollars", "for", "12km", "to", "oneil", "ann", "at", "9", "3rd", "x9", "日本", "done"]
+    assert [x[0] if x[0] in num + name + unit else x for x in row.t] == ["then", name, "paid", num, unit, "for", num, "to", name, name, "at", num, num, "x9", "日本", "done"]
+    assert [x[0] if x[0] in num + name + unit else x for x in row.p] == ["then", "bob", "paid", num, unit, "for", num, "to", "oneil", "ann", "at", num, num, "x9", "日本", "done"]
+    assert row.t[3] == num and row.t[12] == num + "rd"
+
+
+def test_reparameterised_items_in_documents(spark, medium):
+    """Every item with other numbers and names, planted into documents: all found, no clean document is."""
+    rnd = random.Random(4)
+    items = [(r.item_id, r.text) for r in table(spark, medium, "benchmark").collect()]
+    clean = [(i, random_text(rnd, 300)) for i in range(50)]
+    worded = [(k, re.sub(r"(\w+) (\w+) (\w+) (\w+) (\w+) (\w+)", r"\1 \2 Kim \3 \4 17 \5 \6", t)) for k, t in items]
+    other = [(1000 + k, f"{random_text(rnd, 40)}. {t.replace('Kim', 'Lee').replace('17', '250')} {random_text(rnd, 40)}") for k, t in worded]
+    frame = spark.createDataFrame(clean + other, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, spark.createDataFrame(worded, "item_id long, text string")).collect()}
+    assert {d for d, _ in found} == {d for d, _ in other} and {(1000 + k, k) for k, _ in items} <= found
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------------------
 
 
