@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -23,24 +24,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in its absence (one machine) a fresh one."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one machine (a local master) gets a fresh one; a cluster gets an error."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+#: Folders of the tables that materialise() wrote.
+_written: list = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, so a lost executor costs a reread only."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, so a lost executor costs a reread only. release() deletes it, at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framewright/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append((folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Delete all tables that materialise() has written: for when the results that were made of them have been written or read."""
+    for files, folder in _written:
+        try:
+            files.delete(folder, True)
+        except Exception:  # noqa: BLE001 - the JVM is gone, and with it the right to delete
+            break
+    _written.clear()
+
+
 def unique_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have (Spark's names ignore case)."""
     have = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import by_bytes, coded, filled, row_of, split_words, table
+from framewright.llm.common import by_bytes, coded, filled, row_of, split_words, table, unique_name
 
 #: Labelled documents that the chain is fitted on at most, in the order of a hash of their ids.
 SAMPLE = 8192
@@ -33,7 +33,7 @@ MIN_CHI = 15.0
 #: Lengths of the word beginnings that are features besides the whole word.
 PREFIXES = (4, 5, 6)
 #: In the order of the chain: name, and when a labelled document belongs to it.
-CATEGORIES = (("junk", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_junk", "toxic = 1 AND quality = 0"))
+CATEGORIES = (("junk", "quality = 0"), ("toxic_junk", "toxic = 1 AND quality = 0"), ("toxic", "toxic = 1"))
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -152,37 +152,39 @@ class Chain:
     def fit(cls, names: list[str], starts: np.ndarray, features: np.ndarray, words: np.ndarray, labels: np.ndarray, kept: int = KEPT, folds: int = FOLDS) -> Chain:
         """labels: [document, category], 0 or 1."""
         n = len(words)
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
-        seen = np.bincount(features, minlength=1 << BITS).astype(np.float64)
-        chosen = np.zeros(1 << BITS, bool)
-        for y in labels.T:  # chi-square of presence against each category
-            hit = np.bincount(features[y[row] > 0], minlength=1 << BITS)
-            p = y.mean() if n else 0.0
-            if 0 < p < 1:
-                chi = np.where(seen >= 3, (hit - seen * p) ** 2 / np.maximum(seen * p * (1 - p), 1e-9), 0.0)
-                top = np.argsort(-chi, kind="stable")[:kept]
-                chosen[top[chi[top] >= MIN_CHI]] = True
-        top = np.flatnonzero(chosen)
-        place = np.full(1 << BITS, -1, np.int64)
-        place[top] = np.arange(len(top))
-        use = place[features] >= 0
-        row, columns = row[use], place[features[use]]
-        fold = np.arange(n) % folds
-        chain, before = cls(names, place), []
-
-        def rows_of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            new = np.cumsum(which) - 1
-            inside = which[row]
-            return np.searchsorted(new[row[inside]], np.arange(which.sum() + 1)), columns[inside]
-
-        every = np.ones(n, bool)
+        row = np.repeat(np.arange(n, dtype=np.int64), np.diff(starts))
+
+        def chosen(which: np.ndarray) -> np.ndarray:
+            """The place of each feature among those that tell categories apart in the rows given."""
+            mine, rows = which[row], int(which.sum())
+            seen = np.bincount(features[mine], minlength=1 << BITS).astype(np.float64)
+            out = np.zeros(1 << BITS, bool)
+            for y in labels.T:  # chi-square of presence against each category
+                hit = np.bincount(features[mine & (y[row] > 0)], minlength=1 << BITS)
+                p = y[which].mean() if rows else 0.0
+                if 0 < p < 1:
+                    chi = np.where(seen >= 3, (hit - seen * p) ** 2 / np.maximum(seen * p * (1 - p), 1e-9), 0.0)
+                    top = np.argsort(-chi, kind="stable")[:kept]
+                    out[top[chi[top] >= MIN_CHI]] = True
+            return np.where(out, np.cumsum(out) - 1, -1)
+
+        def rows_of(which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            use = which[row] & (place[features] >= 0)
+            return np.searchsorted((np.cumsum(which) - 1)[row[use]], np.arange(which.sum() + 1)), place[features[use]]
+
+        fold, every = np.arange(n) % folds, np.ones(n, bool)
+        places = [chosen(fold != f) for f in range(folds)]  # what is held out has no say in the features
+        inside = [rows_of(fold != f, places[f]) for f in range(folds)]
+        outside = [rows_of(fold == f, places[f]) for f in range(folds)]
+        chain, before = cls(names, chosen(every)), []
+        whole = rows_of(every, chain.place)
         for y in labels.T.astype(np.float64):
             dense = cls.extra(words, before)
             out = np.zeros(n)
             for f in range(folds):
-                model = Linear.fit(*rows_of(fold != f), len(top), dense[fold != f], y[fold != f])
-                out[fold == f] = model.predict(*rows_of(fold == f), dense[fold == f])
-            chain.models.append(Linear.fit(*rows_of(every), len(top), dense, y))
+                model = Linear.fit(*inside[f], int(places[f].max()) + 1, dense[fold != f], y[fold != f])
+                out[fold == f] = model.predict(*outside[f], dense[fold == f])
+            chain.models.append(Linear.fit(*whole, int(chain.place.max()) + 1, dense, y))
             before.append(out)
         return chain
 
@@ -195,13 +197,15 @@ class Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE) -> Chain:
-    """A chain fitted on at most sample labelled documents."""
+    """A chain fitted on at most sample labelled documents: of rows that share an id, the one whose text has the least hash."""
     from pyspark.sql.types import LongType
 
     flags = [F.coalesce(F.expr(rule), F.lit(False)).cast("long").alias(f"_c{i}") for i, (_, rule) in enumerate(categories)]
     chosen = labels.select(F.col("doc_id").alias("_id"), *flags).where("_id IS NOT NULL").groupBy("_id").agg(*(F.max(f"_c{i}").cast(LongType()).alias(f"_c{i}") for i in range(len(categories))))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_th")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    least = rows.groupBy(F.col("_id").alias("_one")).agg(F.min("_th").alias("_least"))  # at most sample rows
+    rows = rows.join(F.broadcast(least), (F.col("_id") == F.col("_one")) & (F.col("_th") == F.col("_least"))).dropDuplicates(["_id"])
     names = [f"_c{i}" for i in range(len(categories))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(run, f"id {kind}, features array<int>, words long, " + ", ".join(f"{c} long" for c in names)).toArrow().combine_chunks()
-    order = pc.sort_indices(got, [("id", "ascending"), ("words", "ascending")])[:sample] if len(got) else pa.array([], pa.uint64())  # repeated documents don't widen the bound
-    got = got.take(order).combine_chunks()
+    got = got.take(pc.sort_indices(got, [("id", "ascending")])).combine_chunks() if len(got) else got
     if not len(got):
         return Chain.fit([c for c, _ in categories], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(categories))))
     lists = got.column("features").chunk(0)
@@ -231,11 +234,12 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, decide
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     out = [*(f"p_{c}" for c in chain.names), "toxic"]
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in out]
+    text = unique_name(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "_text", SLICE):
-                texts = filled(part.column("_text"))
+            for part in by_bytes(batch, text, SLICE):
+                texts = filled(part.column(text))
                 p = shared.value.predict(texts)
                 empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
                 toxic = (p[chain_names.index(decide)] >= threshold) & ~empty
@@ -243,7 +247,7 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, decide
 
     chain_names = chain.names
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, ", ".join([schema, *(f"p_{c} double" for c in chain.names), "toxic boolean"]))
+    return docs.select(*columns, F.col("text").alias(text)).mapInArrow(run, ", ".join([schema, *(f"p_{c} double" for c in chain.names), "toxic boolean"]))
 
 
 def filter_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, decide: str = "toxic") -> DataFrame:

@@ -159,6 +159,38 @@ def test_later_models_hear_of_earlier_ones():
     assert p[1][0] > 0.5 > 0.2 > p[1][1] and chain.models[1].dense[1] > 0
 
 
+def test_held_out_documents_have_no_say_in_their_features():
+    """A fold's words that stand in no other fold are no feature of the models that judge it: its out-of-fold probabilities don't know them."""
+    n, folds = 300, toxicity.FOLDS
+    texts = ["calm plain words here " + ("vile" if i % 2 else "good") + f" mark{i % folds}{i % 2}" for i in range(n)]
+    starts, features, words = toxicity.document_features(pa.array(texts, pa.large_string()))
+    y = (np.arange(n) % 2)[:, None]
+    seen = []
+    fit = toxicity.Linear.fit
+
+    def spy(starts, columns, width, dense, y, **more):
+        seen.append((len(y), width))
+        return fit(starts, columns, width, dense, y, **more)
+
+    toxicity.Linear.fit = spy
+    try:
+        toxicity.Chain.fit(["a"], starts, features, words, y)
+    finally:
+        toxicity.Linear.fit = fit
+    assert [k for k, _ in seen] == [n - n // folds] * folds + [n]
+    assert all(width < seen[-1][1] for _, width in seen[:-1])
+
+
+def test_a_repeated_id_does_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 200 + [(1, "d e f")] * 50 + [(2, "vile words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    assert len(chain.models) == len(toxicity.CATEGORIES)
+    clash = docs.selectExpr("doc_id", "text", "1 as _text", "2 as _th")
+    assert toxicity.classify(clash, chain).columns[:4] == ["doc_id", "text", "_text", "_th"]
+    assert quality.judge(clash.selectExpr("*", "'x' as lang", "3 as _lang", "4 as _language"), ("_text", "_lang", "_language")).count() == 251
+
+
 def test_odd_documents(spark):
     labels = spark.createDataFrame([(3, 1, 1), (3, 1, 1), (4, 1, 0), (5, 0, None), (None, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     docs = odd_documents(spark)
