@@ -57,7 +57,9 @@ def marked_words(text: F.Column) -> F.Column:
     """
     t = F.regexp_replace(unmarked(text), r"(?<=[\p{L}\p{N},;)'])([\x20\x09-\x0D]+)(?=\p{Lu})", f"$1{NAMED}")
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\d[\d.,:/]*)", f"{NUM}$1")
-    t = F.when(F.contains(t, F.lit(NUM)), F.regexp_replace(t, f"(?i)({NUM}\\d[\\d.,:/]*[\\x20\\x09-\\x0D]*)({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}$2")).otherwise(t)
+    unit = f"(?i)({NUM}\\d[\\d.,:/]*[\\x20\\x09-\\x0D]*)({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])"
+    # A one-element array stands for a variable, so the text is worked out once.
+    t = F.transform(F.array(t), lambda x: F.when(F.contains(x, F.lit(NUM)), F.regexp_replace(x, unit, f"$1{UNIT}$2")).otherwise(x))[0]
     return split_kept(t, NUM + NAMED + UNIT)
 
 
@@ -75,21 +77,21 @@ def is_name(word: F.Column) -> F.Column:
     return F.startswith(word, F.lit(NAMED))
 
 
-def window_hashes(words: F.Column, window: int) -> F.Column:
-    """(at, h) for each window of marked words, at counting from 1: by the template, and where it has a name, by that without names."""
-    last = F.size(words) - window + 1
-    both = F.transform(words, lambda w: F.struct(template_word(w, True).alias("t"), template_word(w, False).alias("p")))
-    parts = lambda x, i, of: [F.get(x, i - 1 + k)[of] for k in range(window)]
+def windows_of(rows: DataFrame, width: int) -> DataFrame:
+    """Rows with marked words w, once for each window: at (counting from 1) and h, by the template, and where it has a name, also by that without names.
 
-    def every(x: F.Column) -> F.Column:
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("at"), F.xxhash64(*parts(x, i, "t")).alias("h"), F.xxhash64(*parts(x, i, "p")).alias("p")))
-
-    def apart(x: F.Column) -> F.Column:
-        named = F.transform(F.filter(x, lambda w: w["h"] != w["p"]), lambda w: F.struct(w["at"].alias("at"), w["p"].alias("h")))
-        return F.concat(F.transform(x, lambda w: F.struct(w["at"].alias("at"), w["h"].alias("h"))), named)
-
-    # One-element arrays stand for variables, so what is long is worked out once.
-    return F.when(last >= 1, F.flatten(F.transform(F.transform(F.array(both), every), apart)))
+    Words are hashed first, in a step of their own: what follows is compiled, and a window's row is made only where it meets an item's.
+    """
+    t, p, at = (unique_name(rows, c) for c in ("_t", "_p", "_at"))
+    plain = lambda w: F.when(is_name(w), F.xxhash64(template_word(w, False)))
+    rows = rows.select("*", F.transform("w", lambda w: F.xxhash64(template_word(w, True))).alias(t), F.transform("w", plain).alias(p))
+    # No filter by size: it would be pushed below and work the words out again.
+    rows = rows.select("*", F.explode(F.when(F.size("w") >= width, F.sequence(F.lit(1), F.size("w") - width + 1))).alias(at))
+    words = [(F.get(t, F.col(at) - 1 + k), F.get(p, F.col(at) - 1 + k)) for k in range(width)]
+    h = F.xxhash64(*(x for x, _ in words))
+    named = F.coalesce(*(y for _, y in words)).isNotNull()
+    both = F.when(named, F.array(h, F.xxhash64(*(F.coalesce(y, x) for x, y in words)))).otherwise(F.array(h))
+    return rows.select(*(c for c in rows.columns if c not in (t, p, at)), F.col(at).alias("at"), F.explode(both).alias("h"))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
@@ -107,7 +109,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LIT
     items = items.where(F.size(F.filter("s", lambda x: ~x)) >= literals)
     h = F.lit(None).cast("long")
     for n in range(min(window, SHORTEST), window + 1):
-        h = F.when(F.col("width") == n, F.xxhash64(*(F.get("t", F.lit(k)) for k in range(n)))).otherwise(h)
+        h = F.when(F.col("width") == n, F.xxhash64(*(F.xxhash64(F.get("t", F.lit(k))) for k in range(n)))).otherwise(h)
     slots = F.filter(F.transform("part", lambda x, k: F.struct(k.alias("k"), value_of(x).alias("v"), F.get("s", k).alias("s"))), lambda x: x["s"])
     slots = F.transform(slots, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
     items = items.select("item_id", "ipos", "width", h.alias("h"), slots.alias("slots")).distinct()
@@ -138,12 +140,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), marked_words(F.col("text")).alias("w"))  # texts that share an id are told apart
     key, held = ["doc_id", "th", "item_id"], None
     for width in sorted(widths) or [window]:
-        found = rows.select("doc_id", "th", "w", F.explode(window_hashes(F.col("w"), width)).alias("x"))
-        found = found.select("doc_id", "th", F.col("x.at").alias("pos"), F.col("x.h").alias("h"), F.slice("w", F.col("x.at"), width).alias("part"))
         of_width = index.where(F.col("width") == width).drop("width")
-        found = found.join(F.broadcast(of_width) if near else of_width, "h")
+        found = windows_of(rows, width)
+        if near:
+            found = found.join(F.broadcast(of_width), "h").withColumn("part", F.slice("w", F.col("at"), width))
+        else:
+            found = found.withColumn("part", F.slice("w", F.col("at"), width)).drop("w").join(of_width, "h")
         values = F.transform("slots", lambda s: F.struct(s["v"].alias("v"), value_of(F.get(F.col("part"), s["k"])).alias("d")))
-        found = found.select(*key, "n_windows", F.struct("ipos", (F.col("pos") - F.col("ipos")).alias("shift"), values.alias("pairs")).alias("m"))
+        found = found.select(*key, "n_windows", F.struct("ipos", (F.col("at") - F.col("ipos")).alias("shift"), values.alias("pairs")).alias("m"))
         held = found if held is None else held.unionByName(found)
     held = held.groupBy(*key).agg(F.max("n_windows").alias("n_windows"), F.collect_set("m").alias("x"))
     held = held.withColumn("n_matched", F.size(F.array_distinct(F.transform("x", lambda x: x["ipos"]))).cast("long"))
