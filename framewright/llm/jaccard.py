@@ -30,8 +30,8 @@ SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.9999
 TREES, DEPTH, WIDE = 32, 10, 2
 #: A tile has about so many members or bytes of text from either side at most.
 TILE, TILE_BYTES = 512, 4 << 20
-#: The numbers of tiles, and the ids of classes, go to all tasks up to so many (16 bytes each), else they are joined.
-BROADCAST_ROWS = 500_000
+#: Numbers of tiles, ids of classes, shared prefixes and texts to compare are broadcast up to so many (16 bytes each), else joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def miss(threshold: float, depths: list[int]) -> float:
@@ -142,6 +142,9 @@ def blocks_of(classes: DataFrame, threshold: float, trees: int, target: float) -
     entries = entries.select("node", "tree", F.expr(f"substring(sig, {size} * tree + 1, {size})").alias("sig")).withColumn("key", prefix(least))
     # Whoever shares no prefix of the least length shares none.
     shared = entries.groupBy("key").agg(F.min("node").alias("_least"), F.max("node").alias("_most")).where("_least < _most").select("key")
+    shared = materialise(shared, "shared")
+    if shared.count() <= BROADCAST_ROWS:  # else the signatures are shuffled
+        shared = F.broadcast(shared)
     alive = materialise(entries.join(shared, "key").drop("key"), "tries")
     nodes = alive.select("tree", "sig").groupBy("tree", "sig").agg(F.count(F.lit(1)).cast("double").alias("n"))
     nodes = nodes.select("tree", "sig", "n", F.explode(F.sequence(F.lit(least), F.lit(DEPTH))).alias("depth")).groupBy("tree", "depth", prefix("depth").alias("key")).agg(F.sum("n").alias("n"))
@@ -295,7 +298,10 @@ def with_classes(docs: DataFrame, threshold: float, trees: int, target: float) -
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(F.col("own") <= k, 0).otherwise(1).alias("side")))
     placed = placed.withColumn("x", F.explode(others)).select("block", "node", "rep", "th", "copies", "blocks", "x.i", "x.j", "x.side")
-    texts = docs.select(F.col("doc_id").alias("rep"), "th", F.col("text").alias("_text")).join(member.select("rep", "th"), ["rep", "th"], "left_semi")
+    wanted = member.select("rep", "th")
+    if member.count() <= BROADCAST_ROWS:  # else all texts are shuffled
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").alias("rep"), "th", F.col("text").alias("_text")).join(wanted, ["rep", "th"], "left_semi")
     texts = texts.dropDuplicates(["rep", "th"])  # equal rows
     wide = placed.join(texts, ["rep", "th"]).select("block", "i", "j", "side", "node", "copies", "blocks", "_text")
     compared = wide.groupBy("block", "i", "j").applyInPandas(lambda g: compare_tile(g, threshold), "node long, links long, root long")
