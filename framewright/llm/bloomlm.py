@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import by_bytes, coded, filled, hash_strings, materialise, mix, split_words, sums, table
 
-#: Bits of a filter that is broadcast at most (64 MB), bits of an entry, and probes for each: about 1 % of unseen entries are found.
-MAX_BITS, BITS, PROBES = 1 << 29, 10, 5
+#: Bits of a filter that is broadcast at most (96 MB), bits of an entry, and probes for each: about 1 % of unseen entries are found.
+MAX_BITS, BITS, PROBES = 3 << 28, 10, 5
 #: Bytes of training text for each segment, at most.
 SEGMENT = 2 << 20
 #: Levels of counts.
