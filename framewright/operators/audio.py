@@ -139,9 +139,10 @@ def mixed(df: DataFrame, channels: int, out: int) -> DataFrame:
 _MIX = [[g for g in row] for row in downmix(6, 2)]
 
 
-@query("j_downmix", f"WITH {SAMPLES_SQL} SELECT buffer AS frame, " + ", ".join("round(sum(s / 32768.0 * CASE n - 1 " + " ".join(f"WHEN {i} THEN {g!r}" for i, g in enumerate(row)) + f" END), 6) AS c{o}" for o, row in enumerate(_MIX)) + " FROM samples WHERE n <= 6 GROUP BY buffer")
+@query("j_downmix", f"WITH {SAMPLES_SQL} SELECT buffer * 2 + (n - 1) // 6 AS frame, " + ", ".join("round(sum(s / 32768.0 * CASE (n - 1) % 6 " + " ".join(f"WHEN {i} THEN {g!r}" for i, g in enumerate(row)) + f" END), 6) AS c{o}" for o, row in enumerate(_MIX)) + " FROM samples GROUP BY ALL")
 def j_downmix(spark, sf_dir):
-    s = samples(spark, sf_dir).where("n <= 6").select(F.col("buffer").alias("frame"), (F.col("n") - 1).alias("channel"), (F.col("s") / 32768.0).alias("s"))
+    """Samples six by six; a frame that is cut short is silent in its last channels."""
+    s = samples(spark, sf_dir).select(F.expr("buffer * 2 + (n - 1) div 6").alias("frame"), ((F.col("n") - 1) % 6).alias("channel"), (F.col("s") / 32768.0).alias("s"))
     return mixed(s, 6, 2).select("frame", F.round("c0", 6).alias("c0"), F.round("c1", 6).alias("c1"))
 
 

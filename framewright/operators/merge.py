@@ -171,9 +171,9 @@ def h_bounded_skew(spark, sf_dir):
     return bounded_skew(frames(spark, sf_dir), 10).select("input", "sequence", "dropped")
 
 
-@query("a_gaplesssrc", f"WITH {FRAMES_SQL}, e AS (SELECT user_id, max(rel_ns) - min(rel_ns) + 1000 AS d, min(rel_ns) AS f FROM frames WHERE user_id <= 20 GROUP BY user_id), o AS (SELECT *, coalesce(sum(d) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM e) SELECT sequence, CAST(rel_ns - f + o AS BIGINT) AS pts_ns FROM frames JOIN o USING (user_id)")
+@query("a_gaplesssrc", f"WITH {FRAMES_SQL}, e AS (SELECT user_id, max(rel_ns) - min(rel_ns) + 1000 AS d, min(rel_ns) AS f FROM frames GROUP BY user_id), o AS (SELECT *, coalesce(sum(d) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM e) SELECT sequence, CAST(rel_ns - f + o AS BIGINT) AS pts_ns FROM frames JOIN o USING (user_id)")
 def a_gaplesssrc(spark, sf_dir):
-    return gapless(frames(spark, sf_dir).where("user_id <= 20"), "user_id", 1000).select("sequence", "pts_ns")
+    return gapless(frames(spark, sf_dir), "user_id", 1000).select("sequence", "pts_ns")
 
 
 def gapless(df: DataFrame, item: str, last_duration_ns: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,28 +60,43 @@ def i_gamma(spark, sf_dir):
     return pixels(spark, sf_dir).select("x", "y", *(gamma_corrected(F.col(c), 2.2).alias(c) for c in "rg"))
 
 
+def balance_matrix(contrast: float, saturation: float, hue: float) -> list[list[float]]:
+    """The 3 x 3 matrix M of contrast, saturation and hue (in half turns).
+
+    With luma weights w and J = 1 w', a colour c splits into its grey J c and its chroma (I - J) c. Hue turns chroma about the luma axis, K being
+    the axis's cross product: M = contrast (J + saturation (cos I + sin K) (I - J)).
+    """
+    one = np.eye(3)
+    grey = np.outer(np.ones(3), LUMA)
+    x, y, z = LUMA_AXIS
+    turned = math.cos(hue * math.pi) * one + math.sin(hue * math.pi) * np.asarray([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return (contrast * (grey + saturation * turned @ (one - grey))).tolist()
+
+
 def balanced(brightness: float, contrast: float, saturation: float, hue: float) -> dict[str, Column]:
-    """Contrast about 128, brightness, then chroma about luma: turned by hue (half turns) about the luma axis and scaled."""
-    adjust = lambda c: (F.col(c) - 128.0) * contrast + 128.0 + brightness * 255.0
-    rgb = [adjust(c) for c in "rgb"]
-    luma = sum((w * c for w, c in zip(LUMA, rgb, strict=True)), F.lit(0.0))
-    d = [c - luma for c in rgb]
-    cos, sin = math.cos(hue * math.pi), math.sin(hue * math.pi)
-    k = LUMA_AXIS
-    cross = [k[(i + 1) % 3] * d[(i + 2) % 3] - k[(i + 2) % 3] * d[(i + 1) % 3] for i in range(3)]
-    return {c: F.floor(clamp8(luma + saturation * (d[i] * cos + cross[i] * sin))) for i, c in enumerate("rgb")}
+    """Contrast about 128, brightness (of 255), saturation and hue, each channel cut to 8 bits."""
+    m, shift = balance_matrix(contrast, saturation, hue), 128.0 * (1 - contrast) + 255.0 * brightness
+    return {c: F.floor(clamp8(sum((F.col(x) * k for x, k in zip("rgb", row, strict=True)), F.lit(shift)))) for c, row in zip("rgb", m, strict=True)}
+
+
+_BALANCE = (0.05, 1.2, 0.8, 0.1)
 
 
 def _balance_sql() -> str:
-    a = {c: f"(({c} - 128.0) * 1.2 + 128.0 + 0.05 * 255.0)" for c in "rgb"}
-    luma = f"(0.299 * {a['r']} + 0.587 * {a['g']} + 0.114 * {a['b']})"
-    out = [f"CAST(floor(greatest(0, least(255, {luma} + 0.8 * ({a[c]} - {luma})))) AS BIGINT) AS {c}" for c in "rgb"]
-    return f"WITH {PIXELS_SQL} SELECT x, y, {', '.join(out)} FROM pixels"
+    """The same by luma, differences and a turn about the axis, in float arithmetic of its own."""
+    b, k, s, h = _BALANCE
+    a = {c: f"(({c} - 128.0::DOUBLE) * {k}::DOUBLE + 128.0::DOUBLE + {b}::DOUBLE * 255.0::DOUBLE)" for c in "rgb"}
+    luma = " + ".join(f"{w}::DOUBLE * {a[c]}" for w, c in zip(LUMA, "rgb", strict=True))
+    x, y, z = (f"{v!r}::DOUBLE" for v in LUMA_AXIS)
+    cross = {"r": f"{y} * db - {z} * dg", "g": f"{z} * dr - {x} * db", "b": f"{x} * dg - {y} * dr"}
+    out = [f"CAST(floor(greatest(0, least(255, luma + {s}::DOUBLE * (d{c} * cos({h}::DOUBLE * pi()) + ({cross[c]}) * sin({h}::DOUBLE * pi()))))) AS BIGINT) AS {c}" for c in "rgb"]
+    return f"WITH {PIXELS_SQL}, l AS (SELECT *, {luma} AS luma FROM pixels), d AS (SELECT *, {', '.join(f'{a[c]} - luma AS d{c}' for c in 'rgb')} FROM l) SELECT x, y, {', '.join(out)} FROM d"
 
 
-@query("i_videobalance", _balance_sql().replace("1.2", "1.2::DOUBLE").replace("0.299", "0.299::DOUBLE").replace("0.587", "0.587::DOUBLE").replace("0.114", "0.114::DOUBLE").replace("0.8 ", "0.8::DOUBLE ").replace("0.05", "0.05::DOUBLE").replace("128.0", "128.0::DOUBLE").replace("255.0", "255.0::DOUBLE"))
+@query("i_videobalance", _balance_sql())
 def i_videobalance(spark, sf_dir):
-    return pixels(spark, sf_dir).select("x", "y", *(v.alias(c) for c, v in balanced(0.05, 1.2, 0.8, 0.0).items()))
+    return pixels(spark, sf_dir).select("x", "y", *(v.alias(c) for c, v in balanced(*_BALANCE).items()))
+
 
 
 def flipped(df: DataFrame, method: str, w: Column, h: Column) -> DataFrame:

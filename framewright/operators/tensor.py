@@ -157,3 +157,33 @@ def k_preprocess(spark, sf_dir):
     y, u, v = (F.col("p_partkey") * 37) % 220 + 16, F.col("p_size") + 100, F.col("p_size") + 120
     r, b = 1.164 * (y - 16) + 1.596 * (v - 128), 1.164 * (y - 16) + 2.017 * (u - 128)
     return table(spark, sf_dir, "part").select("p_partkey", F.round((r / 255 - 0.485) / 0.229, 6).alias("r"), F.round((b / 255 - 0.406) / 0.225, 6).alias("b"))
+
+
+def tensor_batcher(items: DataFrame) -> DataFrame:
+    """round, batch and values from items (input, round, values): a round stacks one tensor of every input that still gives any, in the order of inputs.
+
+    An input that has ended drops out, so later batches are smaller. A round waits for nobody here: a table knows where each input ends.
+    """
+    slots = F.array_sort(F.collect_list(F.struct("input", "values")))  # one for each input at most
+    return items.groupBy("round").agg(F.count(F.lit(1)).alias("batch"), slots.alias("_slots")).select("round", "batch", F.flatten(F.transform("_slots", lambda x: x["values"])).alias("values"))
+
+
+#: Four inputs get 4, 3, 2 and 1 of ten vectors in turn, so they end at different rounds.
+_TURNS = (0, 0, 0, 0, 1, 1, 1, 2, 2, 3)
+_FIRST, _SHARE = (0, 4, 7, 9), (4, 3, 2, 1)
+
+
+@query(
+    "k_tensor_batcher",
+    "WITH t AS (SELECT vec_id, embedding, vec_id % 10 AS k, vec_id // 10 AS ten FROM embeddings), "
+    "i AS (SELECT *, CASE WHEN k < 4 THEN 0 WHEN k < 7 THEN 1 WHEN k < 9 THEN 2 ELSE 3 END AS input FROM t), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY input ORDER BY vec_id) - 1 AS round FROM i) "
+    "SELECT round, count(*) AS batch, flatten(list(embedding ORDER BY input)) AS values FROM r GROUP BY round",
+)
+def k_tensor_batcher(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    turn = F.pmod("vec_id", F.lit(10)).cast("int")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at + 1)
+    items = e.withColumn("input", pick(_TURNS, turn))
+    number = F.expr("vec_id div 10") * pick(_SHARE, F.col("input")) + turn - pick(_FIRST, F.col("input"))
+    return tensor_batcher(items.select("input", number.alias("round"), F.col("embedding").alias("values")))

@@ -163,17 +163,20 @@ def test_elementary_streams():
     assert containers.vp8_geometry(b"\0\0\0\x9d\x01\x2a\x40\x01\xf0\0") == (True, 320, 240)
 
 
-def test_jitter_buffer():
-    b, out = media.JitterBuffer(50, 64), []
-    for s in (0, 2, 1, 1, 3):
-        b.push(s, 0)
-        while (got := b.pop(0)) is not None:
-            out.append(got)
-    assert out == [0, 1, 2, 3] and (b.reordered, b.late, b.lost) == (1, 1, 0)
-    b = media.JitterBuffer(50, 64)
-    b.push(65535, 0)
-    b.push(1, 0)
-    assert b.pop(0) == 65535 and b.pop(0) is None and b.pop(60) == 1 and b.lost == 1
+def test_jitter_buffer(spark):
+    def played(packets, hold=50, depth=64):
+        arrival, number = np.asarray([t for t, _ in packets]), media.unwrapped(np.asarray([s for _, s in packets]))
+        place, at = media.playout(arrival, number, hold, depth)
+        return [packets[k][1] for k in place], at.tolist()
+
+    assert media.unwrapped(np.asarray([65534, 0, 65535, 1])).tolist() == [65534, 65536, 65535, 65537]
+    assert played([(0, 0), (1, 2), (2, 1), (3, 1), (4, 3)]) == ([0, 1, 2, 3], [0, 2, 2, 4])
+    assert played([(0, 65535), (0, 1), (60, 2)]) == ([65535, 1, 2], [0, 60, 60])  # 0 is given up
+    assert played([(0, 65535), (0, 1), (1, 2)], depth=2) == ([65535, 1, 2], [0, 1, 1])
+    assert played([(0, 5), (0, 7)]) == ([5, 7], [0, 50])
+    rows = [(1, t, s) for t, s in [(0, 65535), (1, 1), (62, 2), (63, 0), (64, 2)]]
+    r = media.jitter_counts(spark.createDataFrame(rows, "k long, arrival_ns long, seq int"), "k", 50, 64).first()
+    assert (r.received, r.played, r.duplicates, r.late, r.lost, r.reordered) == (5, 3, 1, 1, 1, 1)
 
 
 # --- text, plans, sources ----------------------------------------------------------------------------------------------------------
@@ -212,6 +215,15 @@ def test_launch(spark):
     assert [r.input for r in both["fakesink0"].collect()] == [0, 1, 0, 1, 0]
     with pytest.raises(NotImplementedError, match="network source"):
         launch.launch(spark, "rtspsrc location=x ! fakesink")
+    for name in ("wswiresink", "poolstage", "mfdecode", "gstwrap", "v2element", "webcodecsencode"):
+        with pytest.raises(NotImplementedError):
+            launch.resolve(name)
+    with pytest.raises(ValueError, match="no field depth"):
+        launch.launch(spark, "videotestsrc ! video/x-raw,depth=3 ! fakesink")
+    scaled = launch.launch(spark, "videotestsrc num-buffers=2 ! videoscale ! queue ! video/x-raw,width=64 ! fakesink")["fakesink0"]
+    assert {(r.width, r.height) for r in scaled.collect()} == {(64, 240)}
+    tone = launch.launch(spark, "audiotestsrc num-buffers=2 ! audioconvert ! audio/x-raw,format=F32LE ! fakesink")["fakesink0"]
+    assert tone.count() == 2048 and 0.7 < tone.agg(F.max("s")).first()[0] < 0.9
     for bad in ("! fakesink", "videotestsrc !", "nosuch ! fakesink", "a=b"):
         with pytest.raises(ValueError):
             launch.launch(spark, bad)
