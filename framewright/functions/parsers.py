@@ -1,4 +1,4 @@
-"""Progressive MP4, AV1 units, VP9 heads, program streams, A-law and HLS playlists, in bytes and text."""
+"""Progressive MP4, AV1 units, VP9 heads, FLAC frames, program streams, A-law and HLS playlists, in bytes and text."""
 
 from __future__ import annotations
 
@@ -123,6 +123,116 @@ def vp9_key_frame(frame: bytes) -> tuple[bool, int, int]:
     return True, (bits >> 28 & 0xFFFF) + 1, (bits >> 12 & 0xFFFF) + 1
 
 
+def crc_table(bits: int, poly: int) -> list[int]:
+    """What each byte does to a checksum of that many bits, highest bit first."""
+    out, top, mask = [], 1 << bits - 1, (1 << bits) - 1
+    for byte in range(256):
+        crc = byte << bits - 8
+        for _ in range(8):
+            crc = (crc << 1 ^ (poly if crc & top else 0)) & mask
+        out.append(crc)
+    return out
+
+
+CRC8, CRC16 = crc_table(8, 0x07), crc_table(16, 0x8005)
+
+
+def crc8(data: bytes) -> int:
+    crc = 0
+    for b in data:
+        crc = CRC8[crc ^ b]
+    return crc
+
+
+def crc16(data: bytes) -> int:
+    crc = 0
+    for b in data:
+        crc = (crc << 8 & 0xFF00) ^ CRC16[crc >> 8 ^ b]
+    return crc
+
+
+def coded_number(n: int) -> bytes:
+    """FLAC's extension of UTF-8 to 36 bits."""
+    if n < 0x80:
+        return bytes([n])
+    more = next(m for m in range(1, 7) if n < 1 << 6 * m + max(0, 6 - m))
+    lead = 0xFF << 7 - more & 0xFF | n >> 6 * more
+    return bytes([lead, *(0x80 | n >> 6 * i & 0x3F for i in range(more - 1, -1, -1))])
+
+
+def flac_head(data: bytes, at: int) -> tuple[int, bool, int, int | None] | None:
+    """length, whether blocks vary in size, number and block size (rate code apart) of a frame head whose checksum holds; else None."""
+    if len(data) < at + 6 or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8 or data[at + 3] & 1:
+        return None
+    size_code, rate_code, lead = data[at + 2] >> 4, data[at + 2] & 15, data[at + 4]
+    more = 0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length()
+    if size_code == 0 or rate_code == 15 or lead >= 0x80 and not 1 <= more <= 6:
+        return None
+    number = lead if lead < 0x80 else lead & (1 << 6 - more) - 1
+    for b in data[at + 5 : at + 5 + more]:
+        if b >> 6 != 2:
+            return None
+        number = number << 6 | b & 0x3F
+    end = at + 5 + more
+    wide = {6: 1, 7: 2}.get(size_code, 0)
+    size = int.from_bytes(data[end : end + wide], "big") + 1 if wide else 192 if size_code == 1 else 576 << size_code - 2 if size_code < 6 else 256 << size_code - 8
+    end += wide + {12: 1, 13: 2, 14: 2}.get(rate_code, 0)
+    if end >= len(data) or crc8(data[at:end]) != data[end]:
+        return None
+    return end + 1 - at, bool(data[at + 1] & 1), number, size
+
+
+def read_flac(data: bytes) -> Iterator[Packet]:
+    """Frames of a native FLAC stream, whole, at the times of their first samples. A frame ends where a head follows with the number that is
+    next and its checksum holds, or at the end of the stream; bytes that form no frame are passed over."""
+    if data[:4] != b"fLaC":
+        raise ValueError("no FLAC stream")
+    at, rate, block = 4, 0, 0
+    while at + 4 <= len(data):
+        kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "big")
+        if kind & 0x7F == 0 and size >= 18:
+            info = data[at + 4 : at + 4 + size]
+            block, rate = int.from_bytes(info[2:4], "big"), int.from_bytes(info[10:13], "big") >> 4
+        at += 4 + size
+        if kind & 0x80:
+            break
+    if not rate:
+        raise ValueError("a FLAC stream without its rate")
+    while at < len(data):
+        head = flac_head(data, at)
+        if head is None:
+            at = data.find(b"\xff", at + 1)
+            if at < 0:
+                return
+            continue
+        length, varies, number, size = head
+        follows = number + (size if varies else 1)
+        end = data.find(b"\xff", at + length)
+        while end >= 0:
+            after = flac_head(data, end)
+            if after and after[2] == follows and crc16(data[at:end]) == 0:
+                break
+            end = data.find(b"\xff", end + 1)
+        if end < 0:
+            end = len(data)
+            if crc16(data[at:end]):
+                at += 1
+                continue
+        yield 0, "flac", (number if varies else number * block) * 1_000_000_000 // rate, True, data[at:end]
+        at = end
+
+
+def write_flac(rate: int, bodies: list[bytes]) -> bytes:
+    """A stream of stereo 16-bit frames of 4096 samples around subframes that are coded already."""
+    info = (4096).to_bytes(2, "big") * 2 + b"\0" * 6 + (rate << 44 | 1 << 41 | 15 << 36 | 4096 * len(bodies)).to_bytes(8, "big") + b"\0" * 16
+    out = [b"fLaC\x80" + len(info).to_bytes(3, "big") + info]
+    for n, body in enumerate(bodies):
+        head = b"\xff\xf8\xc0\x18" + coded_number(n)
+        frame = head + bytes([crc8(head)]) + body
+        out.append(frame + crc16(frame).to_bytes(2, "big"))
+    return b"".join(out)
+
+
 def read_ps(data: bytes) -> Iterator[Packet]:
     """PES packets of an MPEG program stream: stream id as the track, times in ns."""
     at = data.find(b"\0\0\x01")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,11 +26,13 @@ READERS: dict[str, Callable[[bytes], Iterator[containers.Packet]]] = {
     "aac": containers.adts_frames,
     "mp4": parsers.read_mp4,
     "mpegps": parsers.read_ps,
+    "flac": parsers.read_flac,
 }
 
 
 def demux(df: DataFrame, key: str, payload: str, container: str) -> DataFrame:
-    """key, track, kind, sequence (in the file), pts_ns, keyframe, payload for each packet of each file. A file is one row's bytes; bad files give no rows."""
+    """key, track, kind, sequence (in the file), pts_ns, keyframe, payload for each packet of each file. A file is one row's bytes; where it
+    breaks off, the packets before that stay, and a last row of kind `error` has the reason as its payload."""
     reader = READERS[container]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,11 +42,11 @@ def demux(df: DataFrame, key: str, payload: str, container: str) -> DataFrame:
                 try:
                     for n, (track, kind, ns, keyframe, body) in enumerate(reader(bytes(data or b""))):
                         rows.append((k, track, kind, n, ns, keyframe, body))
-                except ValueError:
-                    rows = []
+                except (ValueError, IndexError, struct.error) as e:
+                    rows.append((k, None, "error", len(rows), None, False, str(e).encode()))
                 if rows:
                     out = pd.DataFrame(rows, columns=[key, "track", "kind", "sequence", "pts_ns", "keyframe", "payload"])
-                    out["pts_ns"] = out["pts_ns"].astype("Int64")
+                    out["pts_ns"], out["track"] = out["pts_ns"].astype("Int64"), out["track"].astype("Int64")
                     yield out
 
     kind = df.schema[key].dataType.simpleString()

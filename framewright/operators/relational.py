@@ -66,6 +66,29 @@ def w_cube(spark, sf_dir):
     return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("w_grouping_sets", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+def w_grouping_sets(spark, sf_dir):
+    flag, status, line = map(F.col, ("l_returnflag", "l_linestatus", "l_linenumber"))
+    sets = table(spark, sf_dir, "lineitem").groupingSets([[flag, status], [line], []], flag, status, line)
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("w_map_counts", "SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'view') AS views, count(*) AS n FROM events GROUP BY user_id")
+def w_map_counts(spark, sf_dir):
+    """A map from kind to count for each user, read by key, size and values; its entries are counted before they are gathered."""
+    c = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    m = c.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return m.select("user_id", F.size("m").cast("long").alias("kinds"), F.coalesce(F.try_element_at("m", F.lit("view")), F.lit(0).cast("long")).alias("views"), total.alias("n"))
+
+
+@query("w_table_function", "SELECT event_id, unnest(generate_series(0, event_id % 4)) AS part, CAST(value AS DOUBLE) / (event_id % 4 + 1) AS share FROM events")
+def w_table_function(spark, sf_dir):
+    """A table function of the session, in SQL, joined laterally: an event's value in equal parts."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION framewright_parts(id BIGINT, v DOUBLE) RETURNS TABLE (part BIGINT, share DOUBLE) RETURN SELECT p, v / (id % 4 + 1) FROM (SELECT explode(sequence(0L, id % 4)) AS p)")
+    return spark.sql("SELECT event_id, part, share FROM {events} AS e, LATERAL framewright_parts(e.event_id, CAST(e.value AS DOUBLE))", events=table(spark, sf_dir, "events"))
+
+
 @query("w_set_operations", "(SELECT c_nationkey AS k, 'both' AS kind FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT p_size, 'except' FROM part EXCEPT SELECT c_nationkey, 'except' FROM customer)")
 def w_set_operations(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))

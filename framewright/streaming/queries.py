@@ -20,6 +20,8 @@ from framewright.catalog import query, table
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -87,3 +89,11 @@ def s_latest(spark, sf_dir):
     s = event_stream(spark, sf_dir).select("user_id", "event_id", F.unix_micros("t").alias("us"))
     out = s.groupBy("user_id").applyInPandasWithState(Latest.update, Latest.schema, "us long, event_id long", "append", "NoTimeout")
     return run(out, "latest").groupBy("user_id").agg(F.max_by("event_id", F.struct("us", "event_id")).alias("event_id"))
+
+
+@query("s_interval_join", "SELECT c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'")
+def s_interval_join(spark, sf_dir):
+    """Two streams: purchases within an hour of the user's click. Watermarks and the bound on times let state of both sides go."""
+    side = lambda kind, n: event_stream(spark, sf_dir).where(F.col("event_type") == kind).select(F.col("event_id").alias(n), F.col("user_id").alias(f"{n}_user"), F.col("t").alias(f"{n}_t")).withWatermark(f"{n}_t", "10 minutes")
+    on = F.expr("click_user = purchase_user AND purchase_t >= click_t AND purchase_t <= click_t + INTERVAL 1 HOUR")
+    return run(side("click", "click").join(side("purchase", "purchase"), on).select("click", "purchase"), "join")

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.functions import containers
-from framewright.operators import audio, flow, media, tensor, text, timing
+from framewright.functions import containers, parsers
+from framewright.operators import audio, flow, media, packets, tensor, text, timing
 from framewright.plans import caps, launch
 from framewright.sources import files, live, synthetic
 
@@ -361,3 +361,64 @@ def test_parsers():
     assert np.abs(back - s).max() <= 1024 and (np.abs(back - s) <= np.maximum(16, np.abs(s) / 16)).all()
     assert (parsers.alaw_encode(back) == parsers.alaw_encode(s)).all()
     assert parsers.hls_playlist([(2_500_000_000, "a.m4s")], 4, True).splitlines()[2:] == ["#EXT-X-TARGETDURATION:3", "#EXT-X-MEDIA-SEQUENCE:4", "#EXTINF:2.500000,", "a.m4s", "#EXT-X-ENDLIST"]
+
+
+#: The first example stream of RFC 9639, appendix D: one frame of one stereo sample.
+RFC_FLAC = bytes.fromhex("664c6143800000221000100000000f00000f0ac442f0000000013e84b41807dc690307586a3dad1a2e0ffff869180000bf0358fd03128baa9a")
+
+
+def test_flac_frames():
+    (track, kind, ns, key, frame), *rest = parsers.read_flac(RFC_FLAC)
+    assert (track, kind, ns, key, frame, rest) == (0, "flac", 0, True, RFC_FLAC[42:], [])
+    bodies = [bytes([255, 248, n % 256]) * (n % 7) for n in range(2100)]  # sync words inside the frames, numbers of three bytes
+    data = parsers.write_flac(48_000, bodies)
+    got = list(parsers.read_flac(data))
+    assert [p[2] for p in got] == [n * 4096 * 1_000_000_000 // 48_000 for n in range(2100)]
+    assert b"".join(p[4] for p in got) == data[42:]
+    assert len(list(parsers.read_flac(data[:-1]))) == 2099
+    assert [parsers.coded_number(n) for n in (0x7F, 0x7FF, 0xFFFF, 0x10FFFF)] == [chr(n).encode() for n in (0x7F, 0x7FF, 0xFFFF, 0x10FFFF)]
+    with pytest.raises(ValueError):
+        list(parsers.read_flac(b"RIFF"))
+
+
+def test_a_broken_file_keeps_its_packets(spark):
+    whole = parsers.write_mp4([(0, True, b"a"), (1_000_000_000, False, b"b")])
+    df = spark.createDataFrame([(1, RFC_FLAC), (2, b"RIFF"), (3, None)], "id long, p binary")
+    got = sorted((r.id, r.kind) for r in media.demux(df, "id", "p", "flac").collect())
+    assert got == [(1, "flac"), (2, "error"), (3, "error")]
+    assert media.demux(spark.createDataFrame([(1, whole)], "id long, p binary"), "id", "p", "mp4").count() == 2
+
+
+def test_reception_jitter_against_a_loop(spark):
+    r = random.Random(5)
+    rows = [(k, n * 20_000_000 + r.randrange(9_000_000), n * 1800) for k in range(4) for n in range(60)]
+    want = {}
+    for k in range(4):
+        mine = sorted((a, t) for i, a, t in rows if i == k)
+        transits = [(a - mine[0][0]) * 90_000 // 1_000_000_000 - t for a, t in mine]
+        j = 0.0
+        for a, b in zip(transits, transits[1:]):
+            j += (abs(b - a) - j) / 16
+        want[k] = j
+    df = spark.createDataFrame(rows, "k long, arrival_ns long, rtp_ts long")
+    for row in media.reception_jitter(df, "k", 90_000).collect():
+        assert row.packets == 60 and abs(row.jitter - want[row.k]) <= 2
+
+
+def test_biquad_against_the_difference_equation():
+    x = np.random.default_rng(1).normal(size=300) * 1000
+    b0, b1, b2, a1, a2 = c = audio.peaking(1100, 48_000, 0.7, -6.0)
+    y = []
+    for n in range(len(x)):
+        old = lambda v, d: v[n - d] if n >= d else 0.0  # noqa: E731, B023
+        y.append(b0 * x[n] + b1 * old(x, 1) + b2 * old(x, 2) - a1 * old(y, 1) - a2 * old(y, 2))
+    assert np.allclose(audio.biquad(x, c), y)
+    at = np.exp(-2j * math.pi * 1100 / 48_000)
+    assert abs(20 * math.log10(abs((b0 + b1 * at + b2 * at**2) / (1 + a1 * at + a2 * at**2))) + 6) < 1e-6
+
+
+def test_vobsub_index(spark):
+    doc = "# VobSub\r\nsize: 720x576\r\nid: en, index: 0\r\n# id: xx\r\ntimestamp: 00:00:01:500, filepos: 000000000\r\ntimestamp: 01:00:00:000, filepos: 00000A800\r\nid: de, index: 3\r\nbad\r\ntimestamp: 00:00:02:000, filepos: 000001000\r\n"
+    df = spark.createDataFrame([(1, doc), (2, None), (3, ""), (4, "id: fr")], "id long, doc string")
+    got = {tuple(r) for r in packets.vobsub_index(df, "id", F.col("doc")).collect()}
+    assert got == {(1, "en", 0, 1_500_000_000, 0, 0xA800), (1, "en", 0, 3_600_000_000_000, 0xA800, None), (1, "de", 3, 2_000_000_000, 0x1000, None)}
