@@ -258,6 +258,17 @@ def read_ps(data: bytes) -> Iterator[Packet]:
         at = data.find(b"\0\0\x01", at)
 
 
+def subpicture_unit(data: bytes, track: int) -> bytes | None:
+    """The first subtitle unit of a track (private substream 0x20 + track) in program stream packets; its first two bytes are its length."""
+    unit = b""
+    for sid, _, _, _, body in read_ps(data):
+        if sid == 0xBD and body[:1] == bytes([0x20 + track]):
+            unit += body[1:]
+            if len(unit) >= 2 and len(unit) >= (size := int.from_bytes(unit[:2], "big")):
+                return unit[:size]
+    return None
+
+
 def alaw_encode(s: np.ndarray) -> np.ndarray:
     """G.711 A-law of 16-bit samples."""
     s = s.astype(np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from framewright.catalog import query, table
@@ -73,11 +73,15 @@ def g_gopreverse(spark, sf_dir):
     return gopreverse(frames(spark, sf_dir), ["user_id"]).select("user_id", "sequence", "gop", "position")
 
 
+def identity(df: DataFrame, name: str = "probe") -> tuple[DataFrame, Observation]:
+    """The frames as they are, and an observation whose `get` has their number and first and last time once they have been run through."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.min("pts_ns").alias("first_ns"), F.max("pts_ns").alias("last_ns")), seen
+
+
 @query("g_identity", f"WITH {FRAMES_SQL} SELECT stream, sequence, pts_ns, value FROM frames")
 def g_identity(spark, sf_dir):
-    from pyspark.sql import Observation
-
-    return frames(spark, sf_dir).select("stream", "sequence", "pts_ns", "value").observe(Observation("probe"), F.count(F.lit(1)).alias("rows"))
+    return identity(frames(spark, sf_dir).select("stream", "sequence", "pts_ns", "value"))[0]
 
 
 def progressreport(df: DataFrame, every_ns: int) -> DataFrame:
@@ -103,7 +107,6 @@ MAGIC = [
     (0, "FFD8FF", "image/jpeg"),
     (0, "664C6143", "audio/x-flac"),
     (0, "000001BA", "video/mpeg-ps"),
-    (0, "47", "video/mpegts"),
     (0, "574542565454", "text/vtt"),
     (0, "3C21444F4354595045", "text/html"),
     (0, "5B53637269707420496E666F5D", "text/x-ssa"),
@@ -111,14 +114,18 @@ MAGIC = [
 
 
 def typefind(payload: Column) -> Column:
-    """The media type that a payload's first bytes show, else application/octet-stream (null for null)."""
+    """The media type that a payload's first bytes show, else application/octet-stream (null for null). A transport stream has its sync byte
+    at the head of each of the first three packets, as far as the payload goes."""
     out = F.when(payload.isNotNull(), F.lit("application/octet-stream"))
+    sync = lambda at: F.hex(F.substring(payload, at + 1, 1)) == "47"
+    size = F.octet_length(payload)
+    out = F.when(sync(0) & ((size == 188) | sync(188)) & ((size <= 376) | sync(376)), "video/mpegts").otherwise(out)
     for at, magic, kind in reversed(MAGIC):
         out = F.when(F.hex(F.substring(payload, at + 1, len(magic) // 2)) == magic, kind).otherwise(out)
     return out
 
 
-@query("g_typefind", "SELECT page_id AS id, CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'text/html' WHEN starts_with(html, 'G') THEN 'video/mpegts' ELSE 'application/octet-stream' END AS kind FROM pages UNION ALL SELECT -1 - doc_id, CASE WHEN starts_with(text, 'G') THEN 'video/mpegts' ELSE 'application/octet-stream' END FROM documents")
+@query("g_typefind", "SELECT page_id AS id, CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'text/html' WHEN strlen(html) = 188 AND starts_with(html, 'G') THEN 'video/mpegts' WHEN hex(encode(html)) LIKE '47%' AND substr(hex(encode(html)), 377, 2) = '47' AND (strlen(html) <= 376 OR substr(hex(encode(html)), 753, 2) = '47') THEN 'video/mpegts' ELSE 'application/octet-stream' END AS kind FROM pages UNION ALL SELECT -1 - doc_id, CASE WHEN strlen(text) = 188 AND starts_with(text, 'G') THEN 'video/mpegts' WHEN hex(encode(text)) LIKE '47%' AND substr(hex(encode(text)), 377, 2) = '47' AND (strlen(text) <= 376 OR substr(hex(encode(text)), 753, 2) = '47') THEN 'video/mpegts' ELSE 'application/octet-stream' END FROM documents")
 def g_typefind(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("t"))
     docs = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("t"))

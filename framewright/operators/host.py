@@ -83,6 +83,28 @@ def i_overlays(spark, sf_dir):
     return images.map_frames(pictures, draw, "RGBA", "NV12").select("sequence", "width", "height")
 
 
+@query(
+    "i_overlay_pixels",
+    """WITH g AS (SELECT s.sequence, x.x, y.y, s.sequence * 40 AS v, x.x BETWEEN 32 AND 95 AND y.y BETWEEN 24 AND 71 AND NOT (x.x BETWEEN 34 AND 93 AND y.y BETWEEN 26 AND 69) AS edge, x.x < 7 AND y.y >= 90 AS pic
+      FROM (SELECT unnest(generate_series(0, 4)) AS sequence) s, (SELECT unnest(generate_series(0, 127)) AS x) x, (SELECT unnest(generate_series(0, 95)) AS y) y),
+    c AS (SELECT sequence, x, y, unnest([0, 1, 2]) AS channel, v, edge, pic FROM g)
+    SELECT sequence, x, y, channel, CASE WHEN edge THEN CASE channel WHEN 0 THEN 255 ELSE 0 END WHEN pic THEN (90 * 128 + v * 127 + 127) // 255 ELSE v END AS v FROM c""",
+)
+def i_overlay_pixels(spark, sf_dir):
+    """Every pixel of flat frames under a box's outline and a half translucent picture that the left and lower edges cut."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n in b["id"]:
+                px = np.full((96, 128, 4), (n * 40, n * 40, n * 40, 255), np.uint8)
+                px = images.draw_box(px, (0.25, 0.25, 0.5, 0.5), (255, 0, 0))
+                px = images.over(px, np.full((10, 10, 4), (90, 90, 90, 128), np.uint8), -3, 90)
+                y, x, c = np.indices((96, 128, 3)).reshape(3, -1)
+                yield pd.DataFrame({"sequence": n, "x": x, "y": y, "channel": c, "v": px[y, x, c]})
+
+    return spark.range(5).mapInPandas(run, "sequence long, x long, y long, channel long, v long")
+
+
 @query("o_png", "WITH f AS (SELECT unnest(generate_series(0, 2)) AS sequence), y AS (SELECT sequence, unnest(generate_series(0, 11)) AS y FROM f), g AS (SELECT *, unnest(generate_series(0, 15)) AS x FROM y) SELECT sequence, string_agg(lpad(hex((x + y + sequence * 4) % 256), 2, '0'), '' ORDER BY y, x) AS reds FROM g GROUP BY sequence")
 def o_png(spark, sf_dir):
     """Frames to PNG and back."""

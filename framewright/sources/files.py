@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import containers
+from framewright.functions.parsers import subpicture_unit
 from framewright.operators import text
+from framewright.operators.packets import vobsub_index
 
 CUES = {"srt": text.parse_blocks, "vtt": text.parse_blocks, "ssa": text.parse_ssa, "ass": text.parse_ssa, "ttml": text.parse_ttml, "xml": text.parse_ttml}
 
@@ -37,6 +39,26 @@ def subtitlesrc(spark: SparkSession, location: str, format: str | None = None) -
     return CUES[kind](docs, "path", F.col("doc"))
 
 
+def vobsubsrc(spark: SparkSession, folder: str, language: str | None = None) -> DataFrame:
+    """path (without suffix), language, track, start_ns, payload: each subtitle unit that the .idx files of a folder place in the .sub beside
+    them, put together from its program stream packets; null where that file is missing or breaks off before the unit is whole."""
+    stem = lambda suffix: F.regexp_replace("_metadata.file_path", rf"\.{suffix}$", "").alias("path")
+    docs = spark.read.text(folder, wholetext=True, pathGlobFilter="*.idx").select(stem("idx"), F.col("value").alias("doc"))
+    cues = vobsub_index(docs, "path", F.col("doc"))
+    cues = cues if language is None else cues.where(F.col("language") == language)
+    cues = cues.groupBy("path").agg(F.collect_list(F.struct("language", "track", "start_ns", "filepos", "bytes")).alias("cues"))  # one file's
+    subs = spark.read.format("binaryFile").option("pathGlobFilter", "*.sub").load(folder).select(stem("sub"), "content")
+    part = F.transform("cues", lambda c: F.struct(c["language"].alias("language"), c["track"].alias("track"), c["start_ns"].alias("start_ns"), F.substr("content", (c["filepos"] + 1).cast("int"), F.coalesce(c["bytes"].cast("int"), F.octet_length("content"))).alias("part")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["payload"] = [None if p is None else subpicture_unit(bytes(p), 0 if t is None or pd.isna(t) else int(t)) for p, t in zip(b.pop("part"), b["track"], strict=True)]
+            yield b
+
+    out = cues.join(subs, "path", "left").select("path", F.explode(part).alias("c")).select("path", "c.*")
+    return out.mapInPandas(run, "path string, language string, track int, start_ns long, payload binary")
+
+
 def record(df: DataFrame, location: str) -> None:
     """recordsink: the table as it is, sorted by time within files so that a range of times reads few row groups."""
     df.sortWithinPartitions("pts_ns").write.mode("errorifexists").parquet(location)

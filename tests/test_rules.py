@@ -51,7 +51,7 @@ def test_greedy_cuts(spark):
 
 
 def test_typefind(spark):
-    heads = {b"RIFF\0\0\0\0WAVE": "audio/x-wav", b"OggS": "application/ogg", b"\x1a\x45\xdf\xa3": "video/x-matroska", b"....ftyp": "video/quicktime", b"": "application/octet-stream"}
+    heads = {b"RIFF\0\0\0\0WAVE": "audio/x-wav", b"OggS": "application/ogg", b"\x1a\x45\xdf\xa3": "video/x-matroska", b"....ftyp": "video/quicktime", b"": "application/octet-stream", b"G": "application/octet-stream", b"Good morning": "application/octet-stream", b"G" + b"x" * 187: "video/mpegts", (b"G" + b"x" * 187) * 2: "video/mpegts", (b"G" + b"x" * 187) * 2 + b"x": "application/octet-stream", (b"G" + b"x" * 187) * 3: "video/mpegts"}
     df = spark.createDataFrame([(bytearray(h), k) for h, k in heads.items()], "p binary, k string")
     assert all(r.k == r.found for r in df.withColumn("found", flow.typefind(F.col("p"))).collect())
 
@@ -422,3 +422,28 @@ def test_vobsub_index(spark):
     df = spark.createDataFrame([(1, doc), (2, None), (3, ""), (4, "id: fr")], "id long, doc string")
     got = {tuple(r) for r in packets.vobsub_index(df, "id", F.col("doc")).collect()}
     assert got == {(1, "en", 0, 1_500_000_000, 0, 0xA800), (1, "en", 0, 3_600_000_000_000, 0xA800, None), (1, "de", 3, 2_000_000_000, 0x1000, None)}
+
+
+def test_vobsub_files(spark, tmp_path):
+    def pes(sub: int, body: bytes) -> bytes:
+        rest = b"\x81\x80\x05" + b"\x21\0\x01\0\x01" + bytes([sub]) + body
+        return b"\0\0\x01\xba" + b"\x44" + b"\0" * 9 + b"\0\0\x01\xbd" + len(rest).to_bytes(2, "big") + rest
+
+    unit = lambda fill, n: (n + 2).to_bytes(2, "big") + bytes([fill]) * n
+    a, b, c = unit(1, 500), unit(2, 90), unit(3, 40)
+    first = pes(0x20, a[:200]) + pes(0x21, b) + pes(0x20, a[200:])  # another language's packet within
+    second = pes(0x20, c) + pes(0x20, unit(4, 100)[:50])
+    at_b = len(pes(0x20, a[:200]))
+    idx = f"id: en, index: 0\ntimestamp: 00:00:01:000, filepos: 000000000\ntimestamp: 00:00:02:000, filepos: {len(first):09x}\ntimestamp: 00:00:03:000, filepos: {len(first + pes(0x20, c)):09x}\nid: de, index: 1\ntimestamp: 00:00:01:000, filepos: {at_b:09x}\n"
+    (tmp_path / "film.idx").write_text(idx)
+    (tmp_path / "film.sub").write_bytes(first + second)
+    (tmp_path / "lone.idx").write_text("id: fr, index: 0\ntimestamp: 00:00:01:000, filepos: 000000000\n")
+    got = {(r.path.rsplit("/", 1)[1], r.language, r.start_ns // 10**9): r.payload and bytes(r.payload) for r in files.vobsubsrc(spark, str(tmp_path)).collect()}
+    assert got == {("film", "en", 1): a, ("film", "en", 2): c, ("film", "en", 3): None, ("film", "de", 1): b, ("lone", "fr", 1): None}
+    assert [r.language for r in files.vobsubsrc(spark, str(tmp_path), "de").collect()] == ["de"]
+
+
+def test_identity_observes(spark):
+    df, seen = flow.identity(spark.range(7).select((F.col("id") * 10).alias("pts_ns")), "seven")
+    assert df.count() == 7
+    assert seen.get == {"rows": 7, "first_ns": 0, "last_ns": 60}
