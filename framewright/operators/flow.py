@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -225,14 +228,32 @@ def d_multifilesink(spark, sf_dir):
     return key_frame_files(frames(spark, sf_dir), ["stream"]).select("stream", "sequence", "file_no")
 
 
+def greedy_cuts(df: DataFrame, keys: list[str], limit_ns: int) -> DataFrame:
+    """keys and pts_ns of the key frames that begin a file: each the first at or past the limit since the one before. The recurrence runs over
+    sorted distinct times that stream through a task, so memory holds one Arrow batch and the last cut, however many a key has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, due = None, None
+        for b in batches:
+            at = []
+            for i, (*k, t) in enumerate(zip(*(b.column(c).to_pylist() for c in [*keys, "pts_ns"]), strict=True)):
+                if due is None or k != key or t >= due:
+                    key, due = k, t + limit_ns
+                    at.append(i)
+            yield b.take(pa.array(at, pa.int32()))
+
+    times = df.where("keyframe AND pts_ns IS NOT NULL").select(*keys, "pts_ns").distinct()
+    dealt = times.repartition(*keys) if keys else times.repartition(1)
+    return dealt.sortWithinPartitions(*keys, "pts_ns").mapInArrow(run, times.schema)
+
+
 def greedy_segments(df: DataFrame, keys: list[str], limit_ns: int) -> DataFrame:
-    """splitmuxsink and hlssink: a cut at the first key frame at or past the limit since the last cut. Only key frames' times are folded."""
-    cuts = df.where("keyframe").groupBy(*keys).agg(F.array_sort(F.collect_list("pts_ns")).alias("_key_times"))
-    fold = F.aggregate("_key_times", F.array().cast("array<long>"), lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1) + limit_ns), F.concat(acc, F.array(t))).otherwise(acc))
-    cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in keys), fold.alias("cuts"))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-    segment = F.size(F.filter("cuts", lambda c: c <= F.col("pts_ns"))).cast("long") - 1
-    return df.join(cuts, on, "left").withColumn("segment", F.greatest(F.lit(0).cast("long"), F.coalesce(segment, F.lit(0)))).drop("cuts", *(f"_{c}" for c in keys))
+    """splitmuxsink and hlssink: segment is the number of cuts up to a frame, from 0; frames before the first cut, or without a time, are in 0."""
+    cuts = greedy_cuts(df, keys, limit_ns).withColumn("_cut", F.lit(1).cast("long"))
+    both = df.withColumn("_cut", F.lit(0).cast("long")).unionByName(cuts, allowMissingColumns=True)
+    order = ["pts_ns", F.desc("_cut"), *(c for c in ORDER if c in df.columns and c != "pts_ns")]
+    out = running_sum(both, keys, "pts_ns", order, F.col("_cut"), "segment", DAY_NS)
+    return out.where("_cut = 0").withColumn("segment", F.greatest(F.lit(0).cast("long"), F.col("segment") - 1)).drop("_cut")
 
 
 @query(

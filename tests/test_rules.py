@@ -447,3 +447,28 @@ def test_identity_observes(spark):
     df, seen = flow.identity(spark.range(7).select((F.col("id") * 10).alias("pts_ns")), "seven")
     assert df.count() == 7
     assert seen.get == {"rows": 7, "first_ns": 0, "last_ns": 60}
+
+
+def test_fec_brings_back_one_of_a_set(spark):
+    r = random.Random(3)
+    rows = [(s, n, bytearray(r.randbytes(r.choice([0, 1, 6, 7, 8, 1400])))) for s in range(30) for n in range(s * 10, s * 10 + 1 + s % 6)]
+    p = spark.createDataFrame(rows, "s long, n long, payload binary")
+    gone = {(s, n): bytes(b) for s, n, b in rows if n == s * 10 or s % 7 == 0 and n == s * 10 + 1}
+    kept = p.where("NOT (n = s * 10 OR s % 7 = 0 AND n = s * 10 + 1)")
+    got = {(x.s, x.n): bytes(x.payload) for x in media.fec_recover(kept, media.fec_protect(p, ["s"]), ["s"]).collect()}
+    lost = {s: sum(k[0] == s for k in gone) for s in range(30)}
+    assert got == {k: v for k, v in gone.items() if lost[k[0]] == 1}
+
+
+def test_cuts_of_many_times_ties_and_nulls(spark):
+    r = random.Random(9)
+    rows = [(r.choice([None, 1, 2]), r.choice([None, *range(0, 5000, 7)]), r.random() < 0.5, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, pts_ns long, keyframe boolean, sequence long")
+    cuts = {}
+    for k in (None, 1, 2):
+        cuts[k] = []
+        for t in sorted({t for kk, t, key, _ in rows if kk == k and key and t is not None}):
+            if not cuts[k] or t >= cuts[k][-1] + 300:
+                cuts[k].append(t)
+    got = {x.sequence: x.segment for x in flow.greedy_segments(df, ["k"], 300).collect()}
+    assert got == {i: max(0, sum(c <= t for c in cuts[k]) - 1) if t is not None else 0 for k, t, _, i in rows}
