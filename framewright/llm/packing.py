@@ -16,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm.common import by_bytes, filled, kept, numbered, ranked, table
+from framewright.llm.common import by_bytes, coded, filled, kept, numbered, ranked, table
 
 WINDOW, END = 4096, 2
 #: Members of a combination at most, combinations of each size for each length, and how often further ones are sought.
@@ -26,8 +27,8 @@ MEMBERS, CHOICES, MORE = 6, 10, 4
 GOLDEN = (5**0.5 - 1) / 2
 #: Distinct words that a worker remembers before it starts afresh.
 CACHED, SHORT = 600_000, 8
-#: Bytes of text worked on at once.
-SLICE = 2 << 20
+#: Bytes of text worked on at once, and words whose ids are gathered at once.
+SLICE, GATHERED = 2 << 20, 1 << 20
 #: Signs that may follow a word; none of them begins a piece of its own inside a run.
 SIGNS = ".,!?;:#*$%&|<>()[]"
 
@@ -60,9 +61,13 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        # For words of letters only, which no normaliser or pattern would change or cut: the byte alphabet and the merges alone.
-        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        # For words of letters only, which no normaliser or pattern would change or cut: white space, the byte alphabet and the merges alone.
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
         self.bare = Tokenizer.from_str(json.dumps(spec))
+        vocabulary = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -80,7 +85,16 @@ class WordTokenizer:
     def _ids(tokenizer, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Of words of letters: all as one text, cut behind the tokens that end a word."""
+        ids = np.asarray(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):  # a word without an end of its own
+            return self._ids(self.bare, words)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+
+    def _learn(self, new: list[str]) -> None:
         """Words of letters go to the bare tokenizer, with signs behind them in two parts; others to the library."""
         known, tails, rest = self.known, [], []
         letters = set()
@@ -92,33 +106,40 @@ class WordTokenizer:
                     tails.append((w, core, w[len(core) :]))
             else:
                 rest.append(w)
-        for tokenizer, words in ((self.bare, sorted(letters.difference(known))), (self.library, sorted({*rest, *(t for _, _, t in tails)}.difference(known)))):
-            known.update(zip(words, self._ids(tokenizer, words), strict=True))
+        for ids_of, words in ((self._words, letters), (self._library, {*rest, *(t for _, _, t in tails)})):
+            words = list(words.difference(known))
+            known.update(zip(words, ids_of(words), strict=True))
         known.update((w, known[core] + known[tail]) for w, core, tail in tails)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words, whole = [], []
-        for i, t in enumerate(texts):
-            if self.plain(t) and not any(s in t for s in self.special):
-                words.append(t.lower().split())
-            else:
-                words.append(None)
-                whole.append(i)
+        whole = [i for i, t in enumerate(texts) if not self.plain(t) or any(s in t for s in self.special)]
+        lower = [t.lower() for t in texts]
+        for i in whole:
+            lower[i] = ""
+        lists = pc.utf8_split_whitespace(pa.array(lower, pa.large_string()))
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        codes, names = coded(lists.flatten())
         if len(self.known) > CACHED:  # short words are the ones that come back
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
             if len(self.known) > CACHED // 2:
                 self.known.clear()
-        get, out, late = self.known.__getitem__, [b""] * len(texts), []
-        for i, w in enumerate(words):
-            if w:
-                try:
-                    out[i] = b"".join(map(get, w))
-                except KeyError:
-                    late.append(i)
-        if late:
-            self._learn(set().union(*(words[i] for i in late)).difference(self.known))
-            for i in late:
-                out[i] = b"".join(map(get, words[i]))
+        known, names = self.known, names.to_numpy(zero_copy_only=False).tolist()
+        known[""] = b""  # white space at either end of a text
+        if new := [w for w in names if w not in known]:
+            self._learn(new)
+        each = [known[w] for w in names]
+        ids, size = np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first = np.cumsum(size) - size
+        raw, before = [], [np.zeros(1, np.int64)]
+        for i in range(0, len(codes), GATHERED):
+            part = codes[i : i + GATHERED]
+            n = size[part]
+            ends = np.cumsum(n)
+            raw.append(ids[np.arange(ends[-1]) + np.repeat(first[part] - ends + n, n)].tobytes())
+            before.append(ends + before[-1][-1])
+        at = 4 * np.concatenate(before)[offsets - offsets[0]]
+        raw = b"".join(raw)
+        out = [raw[i:j] for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

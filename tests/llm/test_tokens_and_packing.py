@@ -173,3 +173,22 @@ def test_workers_keep_one_operators_things():
 
     assert common.kept("a", lambda: 1) == 1 and common.kept("a", lambda: 2) == 1
     assert common.kept("b", lambda: 3) == 3 and common.kept("a", lambda: 4) == 4
+
+
+def test_new_words_are_encoded_as_one_text(monkeypatch):
+    """Words that are not known yet cost one call of the tokenizer together, not one each, and their ids are those of the library."""
+    tokenizer = packing.WordTokenizer(WORDS)
+    words = ["unverhofftes", "coördinatie", "zyxwvut", "naïveté", "q"]
+    called = []
+    plain = packing.WordTokenizer._ids
+    monkeypatch.setattr(packing.WordTokenizer, "_ids", staticmethod(lambda t, x: called.append(len(x)) or plain(t, x)))
+    texts = [" ".join(words), f" {words[0]},  {words[3]} {words[4]}! ", "", "\t"]
+    got = tokenizer.encode(texts)
+    assert len(words) not in called
+    assert got == plain(tokenizer.library, texts)
+
+
+def test_words_are_split_as_python_does():
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    lists = packing.pc.utf8_split_whitespace(packing.pa.array(texts, packing.pa.large_string()))
+    assert [x.split() for x in texts] == lists.to_pylist()
