@@ -29,16 +29,17 @@ from framewright.llm.common import by_bytes, coded, filled, hash_strings, materi
 
 #: Bits of a filter that is broadcast at most (96 MB), bits of an entry, and probes for each: about 1 % of unseen entries are found.
 MAX_BITS, BITS, PROBES = 3 << 28, 10, 5
-#: Bytes of training text for each segment, at most.
-SEGMENT = 2 << 20
+#: Bytes of training text for each segment, at most. A slice sends each segment a block of keys, so there are slices x segments blocks: large
+#: slices and segments keep them few (3.4 million at 10 GB of text).
+SEGMENT = 16 << 20
 #: Levels of counts.
 STEPS = np.asarray(sorted({1, *(x << k for k in range(39) for x in (2, 3))}), np.int64)
 #: Exact counts of so many words at most (the most frequent) go to all workers, for the base score; others are joined.
 HEAD = 1 << 18
 #: N-grams that a task holds before it passes them on.
 HELD = 2_000_000
-#: Bytes of text worked on at once.
-SLICE = 3 << 20
+#: Bytes of text worked on at once, and those whose n-grams are asked for together where the filter is too large to broadcast.
+SLICE, ASKING = 3 << 20, 6 << 20
 #: N-grams that a segment looks up at once.
 ASKED = 1 << 18
 #: The number of different words behind a context that occurs n times is taken for n ^ NEW.
@@ -154,6 +155,12 @@ class Answered(Model):
         return self.found[np.searchsorted(self.keys, keys)]
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys, sorted (np.unique hashes them first, which takes many times as long)."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def short(n: np.ndarray) -> bytes:
     """Counts in as few bytes each as the largest needs."""
     return n.astype(f"<u{next(w for w in (1, 2, 4, 8) if w == 8 or n.max() < 1 << 8 * w)}").tobytes()
@@ -246,15 +253,13 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
     return model, words.where(F.col("n") < cut), None if near else filters
 
 
-def score_part(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:
-    """The scores of a slice of rows (doc_id, held_out, text), and the words outside the head."""
-    offsets, tokens = token_hashes(filled(part.column("text")))
+def score_part(m: Model, part: pa.RecordBatch, offsets: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+    """The scores of a slice of rows (doc_id, held_out, text) with its tokens, and the words outside the head."""
     pairs, before = bigrams(offsets, tokens)
     word, of_word = np.unique(tokens, return_inverse=True)
     exact, about = m.exact(word), m.counts(word)
     begun = about[np.searchsorted(word, END)] if len(word) else 0.0  # a text begins as often as it ends
-    place = np.minimum(np.searchsorted(word, before), max(0, len(word) - 1))
-    context_n = np.where(before == BEGIN, begun, about[place])  # every other context is a token of its text
+    context_n = np.where(before == BEGIN, begun, about[np.roll(of_word, 1)])  # every other context is the token before
     pair, of_pair = np.unique(pairs, return_inverse=True)
     own = (about + 1) / (m.tokens + m.types + 1)
     seen = np.minimum(LEVEL_COUNT[m.levels(pair)][of_pair], np.minimum(context_n, about[of_word]))
@@ -263,9 +268,9 @@ def score_part(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:
     known = exact[of_word] > 0
     tail = np.flatnonzero(~known & (about[of_word] > 0))  # what the filter doesn't know has no count
     row = np.searchsorted(offsets, tail, side="right") - 1
-    key, n = np.unique(np.column_stack([row, of_word[tail]]), axis=0, return_counts=True) if len(tail) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    ends = pa.array(np.searchsorted(key[:, 0], np.arange(len(offsets))), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (word[key[:, 1]].view(np.int64), n)]
+    key, n = np.unique(row * len(word) + of_word[tail], return_counts=True)
+    ends = pa.array(np.searchsorted(key, np.arange(len(offsets)) * len(word)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (word[key % max(1, len(word))].view(np.int64), n)]
     base = sums(np.log10(exact[of_word] + 1.0), offsets)
     return pa.RecordBatch.from_arrays(
         [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(offsets)), pa.array(sums(known.astype(np.int64), offsets)), pa.array(base), pa.array(sums(np.log10(p), offsets)), *lists],
@@ -273,10 +278,9 @@ def score_part(m: Model, part: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def wanted(m: Model, texts: pa.Array) -> np.ndarray:
-    """The keys, sorted, that score_part looks up in the filter for a slice of texts."""
-    offsets, tokens = token_hashes(filled(texts))
-    return np.unique(np.concatenate([bigrams(offsets, tokens)[0], unigram_key(np.unique(tokens))]))
+def wanted(offsets: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The keys, sorted, that score_part looks up in the filter for a slice's tokens."""
+    return distinct(np.concatenate([distinct(bigrams(offsets, tokens)[0]), unigram_key(distinct(tokens))]))
 
 
 def score_by_shuffle(rows: DataFrame, shared: Broadcast, filters: DataFrame, schema: str) -> DataFrame:
@@ -292,15 +296,15 @@ def score_by_shuffle(rows: DataFrame, shared: Broadcast, filters: DataFrame, sch
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in by_bytes(batch, "text", SLICE):
+            for part in by_bytes(batch, "text", ASKING):
                 yield pa.RecordBatch.from_arrays([pa.array([n] * part.num_rows, pa.int64()), part.column("doc_id"), part.column("held_out"), part.column("text")], ["slice", "doc_id", "held_out", "text"])
                 n += 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in by_bytes(batch, "text", SLICE):
-                keys = wanted(shared.value, part.column("text"))
+            for part in by_bytes(batch, "text", ASKING):
+                keys = wanted(*token_hashes(filled(part.column("text"))))
                 ends = np.searchsorted(keys >> shift, np.arange(segments + 1, dtype=np.uint64))
                 some = np.flatnonzero(np.diff(ends))
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(some), pa.int64()), pa.array(some), pa.array([keys[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())], ["slice", "seg", "keys"])
@@ -321,7 +325,8 @@ def score_by_shuffle(rows: DataFrame, shared: Broadcast, filters: DataFrame, sch
     def put(rows: pa.Table, answers: pa.Table) -> pa.Table:
         m = shared.value
         part = rows.combine_chunks().to_batches()[0]
-        keys = wanted(m, part.column("text"))
+        offsets, tokens = token_hashes(filled(part.column("text")))
+        keys = wanted(offsets, tokens)
         answers = answers.sort_by("seg")
         sizes = [len(x) for x in answers.column("levels").to_pylist()]
         seg, n = np.unique(keys >> shift, return_counts=True)
@@ -329,7 +334,7 @@ def score_by_shuffle(rows: DataFrame, shared: Broadcast, filters: DataFrame, sch
             raise RuntimeError("the input's partitions changed between two readings")
         found = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8).astype(np.int64)
         m = Answered(m.field, m.begins, m.bits, m.head, m.head_counts, m.tokens, m.types, keys, found)
-        return pa.Table.from_batches([score_part(m, part)])
+        return pa.Table.from_batches([score_part(m, part, offsets, tokens)])
 
     # Both readings take the same columns: pruned ones would deal a repartitioned input otherwise.
     asked = rows.mapInArrow(ask, "slice long, seg long, keys binary")
@@ -347,7 +352,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: F.Column, fi
         m = shared.value
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE):
-                yield score_part(m, part)
+                yield score_part(m, part, *token_hashes(filled(part.column("text"))))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<long>, tail_n array<long>"

@@ -108,6 +108,20 @@ def test_no_ngram_is_left_out_beyond_the_broadcast(spark, small, monkeypatch):
     assert bloomlm.score_documents(no_documents(spark)).collect() == []
 
 
+def test_segments_are_few(spark):
+    """A slice of text sends a block to each segment: with a segment for each 2 MB the blocks outgrew the text."""
+    docs = spark.range(32).selectExpr("cast(id as string) AS doc_id", "repeat(concat('w', id, ' and '), 131072) AS text")  # 32 MB
+    model, _, _ = bloomlm.train(docs)
+    assert len(model.bits) == 16
+    assert model.tokens == 32 * (2 * 131072 + 1)
+
+
+def test_distinct_keys():
+    keys = bloomlm.mix(np.arange(5000, dtype=np.uint64) % np.uint64(700))
+    assert bloomlm.distinct(keys).tolist() == sorted(set(keys.tolist()))
+    assert bloomlm.distinct(keys[:0]).tolist() == []
+
+
 def test_rendezvous_equals_brute_force(spark):
     rows = spark.range(2000).select("id", sharding.rendezvous_shard(F.col("id"), [1.0] * 8).alias("s"), sharding.rendezvous_shard(F.col("id"), [1.0] * 9).alias("t")).collect()
 
