@@ -113,6 +113,28 @@ def test_perplexities_and_verdicts_against_a_plain_model(spark, small):
             assert got[i].kept == (not got[i].base_failed and low <= got[i].ppl <= high)
 
 
+def test_small_languages_have_a_vocabulary(spark):
+    """A language below a 2^10th of all tokens had none, and its texts' perplexity told nothing but their length."""
+    large = " ".join(f"word{i % 50}" for i in range(400_000))
+    prose, mixed = "la la na " * 20, "na la la la na na " + "na na na la " * 13 + "la la"
+    assert len(prose.split()) == len(mixed.split())
+    rows = [(0, "en", large), *((i, "xx", prose) for i in range(1, 6)), (9, "xx", mixed)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert got[1].ppl < got[9].ppl
+
+
+def test_languages_beyond_the_broadcast(spark, small, monkeypatch):
+    docs = table(spark, small, "documents").selectExpr("doc_id", "text", "CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN concat('l', doc_id % 40) ELSE lang END AS lang")
+    docs = docs.union(docs.limit(1).selectExpr("doc_id + 1000000", "''", "'no words'")).cache()
+    key = lambda rows: sorted(((r.doc_id, r.ppl, r.low, r.high, r.kept) for r in rows), key=str)
+    want, kept = key(quality.judge(docs).collect()), {r.doc_id for r in quality.filter_quality(docs).collect()}
+    for size in (0, 60_000):  # no language is broadcast, or some
+        monkeypatch.setattr(quality, "NEAR_NGRAMS", size)
+        monkeypatch.setattr(quality, "CHUNK", 5000)
+        assert key(quality.judge(docs).collect()) == want
+        assert {r.doc_id for r in quality.filter_quality(docs).collect()} == kept
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = [" ".join(np.random.default_rng(i).choice(list("abcde"), 300, p=[0.4, 0.3, 0.2, 0.05, 0.05])) for i in range(10)]
     model = quality.train(spark.createDataFrame([("x", t) for t in texts], "lang string, text string"))
