@@ -5,7 +5,8 @@ siblings becomes a repeated group, what a stream lacks becomes an optional group
 union-free regular expression, whatever the order of the pages. A slot is known by its path; an element without a class or id is told
 from others by whether its text stands in links.
 
-Where a page has text in an article or main element, its text is what the slots below hold. On other pages the wrapper decides:
+A page's text is what the wrapper's slots hold, on every page. The slots below an article or main element of the wrapper come first.
+Pages without text there have it in the slots that vary:
 a slot is template if most of its text stands there on half of the host's pages or more, on different pages; repeated groups whose
 text stands in links are menus; and the article lies below the innermost element of the wrapper that has most of the text that varies.
 """
@@ -395,6 +396,8 @@ def blocks_of(root: Node) -> Iterator[tuple[int, bool, str, int]]:
         if x is None or x.dropped:
             continue
         if x.name == "br":
+            if not words:
+                where, inside = path, home
             words.append(" ")
         home, link = home or x.name in ("article", "main"), link or x.name == "a"
         if x.name not in INLINE:
@@ -444,11 +447,27 @@ def article_slots(wrapper: Node, varying: dict[int, int], links: dict[int, int])
     return no_menus(at), no_menus(0)
 
 
-def main_text(root: Node, slots: set[int], others: set[int]) -> str:
-    """The text of a page's blocks, in lines: below article and main; on a page without text there, in the slots given; if there is none either, in the others."""
+def home_slots(wrapper: Node) -> set[int]:
+    """Paths of the slots below the wrapper's article and main elements."""
+    out, todo = set(), [(wrapper, 0, False)]
+    while todo:
+        x, path, home = todo.pop()
+        home = home or x.name in ("article", "main")
+        for c in x.children:
+            if c.sig != "#":
+                todo.append((c, path if c.name in INLINE else step(path, c.sig), home))
+            elif home:
+                out.add(path)
+    return out
+
+
+def main_text(root: Node, slots: set[int], others: set[int], home: set[int] = frozenset()) -> str:
+    """The text of a page's blocks in slots of its host's wrapper, in lines: in those below article and main; of a page without text there, in the slots given; if there is none either, in the others."""
     blocks = list(blocks_of(root))
-    home = [text for _, inside, text, _ in blocks if inside]
-    return "\n".join(home or [text for path, _, text, _ in blocks if path in slots] or [text for path, _, text, _ in blocks if path in others])
+    for of in (home, slots, others):
+        if lines := [text for path, _, text, _ in blocks if path in of]:
+            return "\n".join(lines)
+    return ""
 
 
 def host_of(url) -> F.Column:
@@ -513,7 +532,7 @@ def infer_wrappers(skeletons: DataFrame) -> DataFrame:
 
 
 def article_places(found: DataFrame) -> DataFrame:
-    """_host, slots and others (paths) for each host with pages that lack text in article and main."""
+    """_host and the paths of its wrapper's slots: home (below article and main), and for pages that lack text there slots and others."""
     texts = found.where("skeleton IS NULL").groupBy("host", "path", "text").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("low").alias("low"), F.max("high").alias("high"))
     texts = materialise(texts, "texts")
     pages = texts.where("text IS NULL").select(F.col("host").alias("_host"), F.col("n").alias("_pages"))
@@ -521,19 +540,20 @@ def article_places(found: DataFrame) -> DataFrame:
     same = (F.col("n") >= TEMPLATE_SHARE * F.col("_pages")) & (F.col("low") != F.col("high"))
     of = lambda c, which: F.sum(F.when(which, F.col(c)).otherwise(0)).alias
     mass = texts.groupBy("host", "path").agg(of("chars", ~same)("chars"), of("links", ~same)("links"), of("chars", same)("same"))
-    wrappers = infer_wrappers(found.where("skeleton IS NOT NULL").select("host", "skeleton").join(pages, F.col("host") == F.col("_host"), "left_semi"))
+    wrappers = infer_wrappers(found.where("skeleton IS NOT NULL").select("host", "skeleton"))
 
     def place(w: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if w.empty:
-            return pd.DataFrame({"_host": [], "slots": [], "others": []})
+            return pd.DataFrame({"_host": [], "slots": [], "others": [], "home": []})
+        wrapper = read(w["wrapper"].iloc[0])
         if (m["chars"] - m["links"]).sum() < DIFFER_SHARE * m["same"].sum():
             m = m.assign(chars=m["chars"] + m["same"], same=0)
         m = m[m["chars"] >= m["same"]]
         paths = [p % (1 << 64) for p in m["path"].tolist()]
-        slots, others = article_slots(read(w["wrapper"].iloc[0]), dict(zip(paths, m["chars"].tolist(), strict=True)), dict(zip(paths, m["links"].tolist(), strict=True)))
-        return pd.DataFrame({"_host": [w["host"].iloc[0]], **{c: [sorted(map(signed, x.intersection(paths)))] for c, x in (("slots", slots), ("others", others))}})
+        slots, others = article_slots(wrapper, dict(zip(paths, m["chars"].tolist(), strict=True)), dict(zip(paths, m["links"].tolist(), strict=True)))
+        return pd.DataFrame({"_host": [w["host"].iloc[0]], **{c: [sorted(map(signed, x.intersection(paths)))] for c, x in (("slots", slots), ("others", others))}, "home": [sorted(map(signed, home_slots(wrapper)))]})
 
-    return wrappers.groupBy("host").cogroup(mass.groupBy("host")).applyInPandas(place, "_host string, slots array<long>, others array<long>")
+    return wrappers.groupBy("host").cogroup(mass.groupBy("host")).applyInPandas(place, "_host string, slots array<long>, others array<long>, home array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -545,15 +565,15 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.col("html"), host_of(F.col("url")).alias("host"))
     places = materialise(article_places(materialise(read_pages(rows), "pages")), "places")
-    size = places.agg(F.coalesce(F.sum(F.length("_host") + 8 * F.size("slots") + 8 * F.size("others")), F.lit(0))).first()[0]
+    size = places.agg(F.coalesce(F.sum(F.length("_host") + 8 * (F.size("slots") + F.size("others") + F.size("home"))), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         places = F.broadcast(places)
-    joined = rows.join(places, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots", "others")
+    joined = rows.join(places, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots", "others", "home")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "html"):
-                paths = ([{p % (1 << 64) for p in at or ()} for at in part.column(c).to_pylist()] for c in ("slots", "others"))
+                paths = ([{p % (1 << 64) for p in at or ()} for at in part.column(c).to_pylist()] for c in ("slots", "others", "home"))
                 texts = [main_text(parse(page), *at) for page, *at in zip(filled(part.column("html")).to_pylist(), *paths, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -40,6 +40,25 @@ def test_boilerplate_goes(spark):
         assert got[100 + i] == want.format(i=i).removesuffix("\nx y")  # a constant outside an article
 
 
+def test_every_page_is_read_through_its_wrapper(spark):
+    """Pages with an article went past the wrapper."""
+    pages = [f"<body><div>Home</div><article><h1>Title {i}</h1><p>Text <b>of</b> {i}</p>{'<ul><li>one</li></ul>' * (i % 2)}</article></body>" for i in range(4)]
+    roots = [htmlwrap.parse(p) for p in pages]
+    home = htmlwrap.home_slots(htmlwrap.wrapper_of(roots))
+    assert [htmlwrap.main_text(r, set(), set(), home) for r in roots] == [f"Title {i}\nText of {i}" + "\none" * (i % 2) for i in range(4)]
+    assert [htmlwrap.main_text(r, set(), set()) for r in roots] == [""] * 4
+    rows = spark.createDataFrame([(i, "http://a.b/", p) for i, p in enumerate(pages)], "page_id long, url string, html string").withColumn("host", htmlwrap.host_of("url"))
+    places = htmlwrap.article_places(htmlwrap.read_pages(rows)).collect()
+    assert [(r["_host"], {p % (1 << 64) for p in r.home}, r.slots) for r in places] == [("a.b", home, [])]
+
+
+def test_a_line_break_begins_a_block(spark):
+    """A block that began with one was counted to the element before."""
+    pages = ["<body><article><p>One</p></article><div><br>Contact us</div></body>", "<body><div>Shop</div><article><p><br>Two</p></article></body>"]
+    got = text_of([(i + 1, f"http://host{i}.example/", p, "", 1) for i, p in enumerate(pages)], spark)
+    assert got == {1: "One", 2: "Two"}
+
+
 def test_hosts_that_mix_templates(spark):
     """One page with an article leaves the text of the host's other pages alone."""
     pages = [(1, None, "<body><article><p>In an article</p></article><p>Outside</p></body>", "", 1), (2, None, "<body><div><p>No article here</p></div></body>", "", 1), (3, None, "<body><main></main><p>Empty main</p></body>", "", 1)]
