@@ -270,3 +270,20 @@ def test_stages_keep_columns(spark, small):
             assert out.columns == docs.columns, name
             assert out.count() <= docs.count()
     assert packing.op6_packing(spark, small).columns == corpus_pipeline.STAGES[-1][1](spark, no_documents(spark), small).columns
+
+
+def test_the_pipeline_judges_small_languages(spark):
+    """The quality stage had no model of languages below a 2^10th of all tokens: there a text without grammar passed beside the prose."""
+    import random
+
+    import corpus_pipeline
+
+    pairs = ["da ke", "lo mi", "nu pa"]
+    prose = [" ".join(f"{pairs[j % 3]} x{i}y{j}" for j in range(20 + i % 10)) for i in range(41)]
+    words = prose.pop().split()
+    random.Random(1).shuffle(words)
+    rows = [*((i, "xx", p) for i, p in enumerate(prose)), (99, "xx", " ".join(words))]
+    large = spark.range(1000, 1040).selectExpr("id AS doc_id", "'en' AS lang", "repeat(concat('the w', id, ' and '), 40000) AS text")
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").union(large)
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, "").where("lang = 'xx'").collect()}
+    assert kept == set(range(40))
