@@ -110,10 +110,10 @@ def test_no_ngram_is_left_out_beyond_the_broadcast(spark, small, monkeypatch):
 
 def test_segments_are_few(spark):
     """A slice of text sends a block to each segment: with a segment for each 2 MB the blocks outgrew the text."""
-    docs = spark.range(32).selectExpr("cast(id as string) AS doc_id", "repeat(concat('w', id, ' and '), 131072) AS text")  # 32 MB
+    docs = spark.range(32).selectExpr("cast(id as string) AS doc_id", "repeat(concat('w', id, ' and '), 262144) AS text")  # over 60 MB
     model, _, _ = bloomlm.train(docs)
     assert len(model.bits) == 16
-    assert model.tokens == 32 * (2 * 131072 + 1)
+    assert model.tokens == 32 * (2 * 262144 + 1)
 
 
 def test_distinct_keys():
