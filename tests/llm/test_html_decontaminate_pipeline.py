@@ -287,3 +287,14 @@ def test_the_pipeline_judges_small_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").union(large)
     kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, "").where("lang = 'xx'").collect()}
     assert kept == set(range(40))
+
+
+def test_the_pipeline_leaves_no_ngram_out(spark, medium, monkeypatch):
+    """What its quality stage keeps doesn't depend on which n-grams are frequent: those below NGRAM_SHARE had no say."""
+    import corpus_pipeline
+
+    docs = table(spark, medium, "documents")
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, medium).collect())
+    want = kept()
+    monkeypatch.setattr(quality, "NGRAM_SHARE", 2.0**-7)
+    assert kept() == want

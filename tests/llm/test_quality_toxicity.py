@@ -135,6 +135,21 @@ def test_languages_beyond_the_broadcast(spark, small, monkeypatch):
         assert {r.doc_id for r in quality.filter_quality(docs).collect()} == kept
 
 
+def test_no_ngram_is_left_out(spark, small, monkeypatch):
+    """N-grams below NGRAM_SHARE of their language's counts went to the lower order: here nearly all of them would."""
+    docs = table(spark, small, "documents")
+    docs = docs.union(docs.where("doc_id < 3")).cache()  # repeated rows, too
+    key = lambda rows: sorted(((r.doc_id, r.ppl, r.low, r.high, r.kept) for r in rows), key=str)
+    want, kept = key(quality.judge(docs).collect()), sorted(r.doc_id for r in quality.filter_quality(docs).collect())
+    assert kept == sorted(x[0] for x in want if x[4])
+    for size in (quality.NEAR_NGRAMS, 0):
+        monkeypatch.setattr(quality, "NGRAM_SHARE", 2.0**-7)
+        monkeypatch.setattr(quality, "NEAR_NGRAMS", size)
+        monkeypatch.setattr(quality, "CHUNK", 20_000)
+        assert key(quality.judge(docs).collect()) == want
+        assert sorted(r.doc_id for r in quality.filter_quality(docs).collect()) == kept
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = [" ".join(np.random.default_rng(i).choice(list("abcde"), 300, p=[0.4, 0.3, 0.2, 0.05, 0.05])) for i in range(10)]
     model = quality.train(spark.createDataFrame([("x", t) for t in texts], "lang string, text string"))
