@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.catalog import query
-from framewright.functions.order import latest, running_number
+from framewright.functions.order import latest, running_number, running_sum
 from framewright.schema import DAY_NS, FRAMES_SQL, HOUR_NS, MINUTE_NS, STREAMS, frames
 
 ORDER = ["pts_ns", "input", "sequence"]
 #: Time buckets of the carried windows.
 WIDTH = 6 * HOUR_NS
+#: Whole numbers of items in a bucket of a playlist.
+ITEMS = 4096
+#: What a LONG can hold, 292 years of nanoseconds.
+FIRST_NS, LAST_NS = -(1 << 63), (1 << 63) - 1
 
 
 def funnel(df: DataFrame) -> DataFrame:
@@ -24,11 +28,27 @@ def h_funnel(spark, sf_dir):
     return funnel(frames(spark, sf_dir)).select("stream", "sequence", "position")
 
 
+def begins(spans: DataFrame, item: str, span: str) -> DataFrame:
+    """spans with _o, the sum of the earlier items' spans, as an exact DECIMAL: a long playlist's end is beyond LONG. Rows without an item have no place."""
+    spans = spans.where(F.col(item).isNotNull())
+    exact = F.col(span).cast("decimal(20,0)")
+    if spans.schema[item].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return running_sum(spans, [], item, [item], exact, "_o", ITEMS, inclusive=False)
+    before = Window.orderBy(item).rowsBetween(Window.unboundedPreceding, -1)  # one row for each item
+    return spans.withColumn("_o", F.coalesce(F.sum(exact).over(before), F.lit(0)))
+
+
+def moved(time: Column, offset: Column) -> Column:
+    """time + offset, added exactly; beyond LONG it stays at LONG's end, as the reference's saturating_add stays at its own type's."""
+    t = time.cast("decimal(20,0)") + offset
+    return F.when(t > LAST_NS, LAST_NS).when(t < FIRST_NS, FIRST_NS).otherwise(t).cast("long")
+
+
 def concat(df: DataFrame, time: str, duration: Column) -> DataFrame:
     """Inputs one after the other: each is moved by the sum of the earlier inputs' ends."""
-    ends = df.groupBy("input").agg(F.max(F.col(time) + duration).alias("_end"))
-    moved = ends.select("input", F.coalesce(F.sum("_end").over(Window.orderBy("input").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return df.join(F.broadcast(moved), "input").withColumn(time, F.col(time) + F.col("_offset")).drop("_offset")  # one row for each input
+    ends = df.groupBy("input").agg(F.max(F.col(time).cast("decimal(20,0)") + duration).alias("_end"))
+    offsets = begins(ends, "input", "_end").select("input", "_o")
+    return df.join(F.broadcast(offsets), "input").withColumn(time, moved(F.col(time), F.col("_o"))).drop("_o")  # one row for each input
 
 
 @query("h_concat", f"WITH {FRAMES_SQL}, e AS (SELECT input, max(rel_ns + 1000000) AS e FROM frames GROUP BY input), o AS (SELECT input, coalesce(sum(e) OVER (ORDER BY input ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM e) SELECT stream, sequence, CAST(rel_ns + o AS BIGINT) AS rel_ns FROM frames JOIN o USING (input)")
@@ -177,9 +197,8 @@ def a_gaplesssrc(spark, sf_dir):
 
 
 def gapless(df: DataFrame, item: str, last_duration_ns: int) -> DataFrame:
-    """Playlist items back to back on one timeline that starts at 0. The items' spans, not their frames, are put in order."""
+    """Playlist items back to back on one timeline that starts at 0. The items' spans, not their frames, are put in order. _o is where an item begins, exactly, beyond LONG too."""
     spans = df.groupBy(item).agg(F.min("rel_ns").alias("_first"), (F.max("rel_ns") - F.min("rel_ns") + last_duration_ns).alias("_d"))
-    spans = spans.withColumn("_o", F.coalesce(F.sum("_d").over(Window.orderBy(item).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return df.join(spans, item).withColumn("pts_ns", F.col("rel_ns") - F.col("_first") + F.col("_o"))
+    return df.join(begins(spans, item, "_d"), item).withColumn("pts_ns", moved(F.col("rel_ns") - F.col("_first"), F.col("_o")))
 
 

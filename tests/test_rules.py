@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import containers, parsers
-from framewright.operators import audio, flow, media, packets, tensor, text, timing
+from framewright.operators import audio, flow, media, merge, packets, tensor, text, timing
 from framewright.plans import caps, launch
 from framewright.sources import files, live, synthetic
 
@@ -472,3 +472,16 @@ def test_cuts_of_many_times_ties_and_nulls(spark):
                 cuts[k].append(t)
     got = {x.sequence: x.segment for x in flow.greedy_segments(df, ["k"], 300).collect()}
     assert got == {i: max(0, sum(c <= t for c in cuts[k]) - 1) if t is not None else 0 for k, t, _, i in rows}
+
+
+def test_playlists_longer_than_a_long(spark):
+    """Items of 30 days: from the 3559th on they begin beyond 2^63 ns. All rows come out, the sums before are exact, those beyond stay at the end."""
+    day30, n = 30 * 86_400_000_000_000, 9000
+    items = spark.range(n).select((F.col("id") * 3).alias("item"), F.explode(F.array(F.lit(5), F.lit(5 + day30))).alias("rel_ns"))
+    got = {(r.item // 3, r.rel_ns): (r.pts_ns, int(r._o)) for r in merge.gapless(items.union(spark.sql("SELECT CAST(NULL AS BIGINT), 77L")), "item", 1000).collect()}
+    begin = lambda i: i * (day30 + 1000)
+    assert got == {(i, 5 + d): (min(begin(i) + d, 2**63 - 1), begin(i)) for i in range(n) for d in (0, day30)}
+    far = spark.createDataFrame([(i, 2**62) for i in range(4)] + [(None, 9)], "input int, t long")
+    assert sorted((r.input, r.t) for r in merge.concat(far, "t", F.lit(0)).collect()) == [(0, 2**62), (1, 2**63 - 1), (2, 2**63 - 1), (3, 2**63 - 1)]
+    words = spark.createDataFrame([("b", 0), ("b", 7), ("a", 1)], "item string, rel_ns long")
+    assert sorted((r.item, r.pts_ns) for r in merge.gapless(words, "item", 10).collect()) == [("a", 0), ("b", 10), ("b", 17)]
