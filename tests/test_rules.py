@@ -89,6 +89,29 @@ def test_nms_against_a_loop(spark):
     assert {r.id for r in tensor.nms(df, 0.3).collect()} == {k[1] for k in kept}
 
 
+def test_overlaps_against_a_loop(spark):
+    """Groups of one tile and of many, with equal ids, nulls and boxes that touch only; the pairs are made in many tasks, however small the table."""
+    rnd = np.random.default_rng(2)
+    rows = [(0 if i < 90 else i % 7, i // 2 if 40 < i < 50 else i, *(float(v) / 8 for v in rnd.integers(0, 9, 2)), *(float(v) / 8 for v in rnd.integers(0, 4, 2))) for i in range(120)]
+    want = {}
+    for a in rows:
+        for b in rows:
+            w, h = (max(0.0, min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k])) for k in (2, 3))
+            if a[0] == b[0] and a[1] < b[1] and w * h > 0:
+                want.setdefault((a[0], a[1], b[1]), []).append(w * h / (a[4] * a[5] + b[4] * b[5] - w * h))
+    df = spark.createDataFrame([*rows, (None, 1, 0.0, 0.0, 1.0, 1.0), (None, 2, 0.0, 0.0, 1.0, 1.0), (0, None, 0.0, 0.0, 1.0, 1.0)], "frame int, id int, x double, y double, w double, h double")
+    for tile in (8, 1024):
+        out, got = tensor.overlaps(df, ["frame"], tile), {}
+        for r in out.collect():
+            got.setdefault((r.frame, r.a, r.b), []).append(r.iou)
+        assert {k: sorted(v) for k, v in got.items()} == {k: pytest.approx(sorted(v)) for k, v in want.items()}
+        assert out.rdd.getNumPartitions() >= 4
+
+
+def test_pairs_of_the_query_are_dealt_to_many_tasks(spark, small):
+    assert tensor.u_iou(spark, small).rdd.getNumPartitions() >= 4
+
+
 def test_feedback_echo_against_a_loop():
     x = np.random.default_rng(0).integers(-9000, 9000, 50).astype(float)
     line, want = [0.0] * 50, []
