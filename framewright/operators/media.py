@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructType
 
 from framewright.catalog import query, table
 from framewright.functions import containers, parsers
@@ -30,36 +33,97 @@ READERS: dict[str, Callable[[bytes], Iterator[containers.Packet]]] = {
 }
 
 
+#: Bytes of a row that goes to Python: an Arrow batch has 10,000 rows, whatever their length. Rows and bytes of a batch that Python gives back.
+PIECE, PACKETS, BYTES = 512, 10_000, 4 << 20
+
+
+def in_pieces(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """k, p and last: each file as consecutive rows of a bounded length."""
+    last = F.expr(f"CAST((greatest(coalesce(octet_length(`{payload}`), 0), 1) - 1) div {PIECE} AS INT)")
+    rows = df.select(F.col(key).alias("k"), F.col(payload).alias("p"), last.alias("n")).select("k", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
+    return rows.select("k", F.substring("p", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("p"), (F.col("i") == F.col("n")).alias("last"))
+
+
+def whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bytes]]:
+    """Key and bytes of each file of in_pieces(); a null file has none."""
+    held: list[bytes] = []
+    for b in batches:
+        for k, p, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held.append(p or b"")
+            if last:
+                data, held = held[0] if len(held) == 1 else b"".join(held), []
+                yield k, data
+
+
+def in_batches(rows: Iterator[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:
+    """Rows whose last value is bytes, as Arrow batches of a bounded size; a longer row is a batch of its own."""
+    kinds = to_arrow_schema(schema)
+    batch = lambda got: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), kinds, strict=True)], schema=kinds)
+    got, size = [], 0
+    for row in rows:
+        got.append(row)
+        size += len(row[-1])
+        if len(got) >= PACKETS or size >= BYTES:
+            yield batch(got)
+            got, size = [], 0
+    if got:
+        yield batch(got)
+
+
 def demux(df: DataFrame, key: str, payload: str, container: str) -> DataFrame:
     """key, track, kind, sequence (in the file), pts_ns, keyframe, payload for each packet of each file. A file is one row's bytes; where it
-    breaks off, the packets before that stay, and a last row of kind `error` has the reason as its payload."""
+    breaks off, the packets before that stay, and a last row of kind `error` has the reason as its payload. A task holds a file at a time."""
     reader = READERS[container]
+    schema = StructType().add(key, df.schema[key].dataType).add("track", LongType()).add("kind", StringType()).add("sequence", LongType()).add("pts_ns", LongType()).add("keyframe", BooleanType()).add("payload", BinaryType())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, data in zip(b["k"], b["p"], strict=True):
-                rows = []
-                try:
-                    for n, (track, kind, ns, keyframe, body) in enumerate(reader(bytes(data or b""))):
-                        rows.append((k, track, kind, n, ns, keyframe, body))
-                except (ValueError, IndexError, struct.error) as e:
-                    rows.append((k, None, "error", len(rows), None, False, str(e).encode()))
-                if rows:
-                    out = pd.DataFrame(rows, columns=[key, "track", "kind", "sequence", "pts_ns", "keyframe", "payload"])
-                    out["pts_ns"], out["track"] = out["pts_ns"].astype("Int64"), out["track"].astype("Int64")
-                    yield out
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(payload).alias("p")).mapInPandas(run, f"`{key}` {kind}, track long, kind string, sequence long, pts_ns long, keyframe boolean, payload binary")
+    def packets(data: bytes) -> Iterator[tuple]:
+        n = 0
+        try:
+            for track, kind, ns, keyframe, body in reader(data):
+                yield track, kind, n, ns, keyframe, body
+                n += 1
+        except (ValueError, IndexError, struct.error) as e:
+            yield None, "error", n, None, False, str(e).encode()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(((k, *packet) for k, data in whole_files(batches) for packet in packets(data)), schema)
 
-def mux(df: DataFrame, key: str, writer: Callable[[pd.DataFrame], bytes]) -> DataFrame:
-    """key, payload: each key's frames (track, pts_ns, keyframe, payload), in the order of time and track, through a writer. A file is one task's work."""
+    return in_pieces(df, key, payload).mapInArrow(run, schema)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [g[key].iloc[0]], "payload": [writer(g.sort_values(["pts_ns", "track", "sequence"], kind="stable"))]})
 
-    return df.groupBy(key).applyInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, payload binary")
+def mux(df: DataFrame, key: str, writer: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+    """key, payload: each key's frames (track, pts_ns, keyframe, payload), in the order of time and track, through a writer. Frames come to
+    Python in that order, so a task holds a batch and a file at a time; a file is one task's work."""
+    schema = StructType().add(key, df.schema[key].dataType).add("payload", BinaryType())
+    at = df.columns.index(key)
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bytes]]:
+        held: list[pd.DataFrame] = []
+        name = None
+        write = lambda: writer(held[0] if len(held) == 1 else pd.concat(held, ignore_index=True))
+        for b in batches:
+            keys = b.column(at).to_pylist()
+            g = b.to_pandas(integer_object_nulls=True)
+            begin = 0
+            for i, k in enumerate(keys):
+                if held or i > begin:
+                    if k == name or (k != k and name != name):
+                        continue
+                    if i > begin:
+                        held.append(g.iloc[begin:i])
+                    yield name, write()
+                    held, begin = [], i
+                name = k
+            if begin < len(keys):
+                held.append(g.iloc[begin:])
+        if held:
+            yield name, write()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(files(batches), schema)
+
+    order = [F.asc(key), *(F.asc_nulls_last(c) for c in ("pts_ns", "track", "sequence"))]
+    return df.repartition(F.col(key)).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def ts_writer(g: pd.DataFrame) -> bytes:

@@ -165,6 +165,33 @@ def test_ogg_long_packets_and_bad_pages():
     assert len(list(containers.read_ogg(bytes(broken)))) < len(packets)
 
 
+def test_mux_and_demux_hold_a_file_at_a_time(spark, monkeypatch):
+    """Files of 1 byte to 300 KB, with a null and an empty one: rows that go to Python are short, and so are the batches of both ways."""
+    files = [(i, bytes([i]) * n) for i, n in enumerate((1, 2047, 2048, 2049, 300_000, 0))] + [(None, b"x" * 5000), (9, None)]
+    df = spark.createDataFrame(files, "k int, p binary")
+    rows = media.in_pieces(df, "k", "p")
+    assert max(len(r.p) for r in rows.where("p IS NOT NULL").collect()) <= media.PIECE
+    batch = rows.coalesce(1).toArrow().to_batches(max_chunksize=3)
+    assert sorted(media.whole_files(iter(batch)), key=str) == sorted(((k, bytes(p or b"")) for k, p in files), key=str)
+
+    monkeypatch.setitem(media.READERS, "bytes", lambda data: ((0, "byte", None, True, data[i : i + 1000]) for i in range(0, len(data), 1000)))
+    assert sorted((str(r.k), r.sequence, bytes(r.payload)) for r in media.demux(df, "k", "p", "bytes").collect()) == sorted((str(k), i, bytes(p[i * 1000 : i * 1000 + 1000])) for k, p in files if p for i in range(-(-len(p) // 1000)))
+    assert [b.num_rows for b in media.in_batches(iter([(i, bytes(3 << 20)) for i in range(5)]), media.StructType().add("k", media.LongType()).add("p", media.BinaryType()))] == [2, 2, 1]
+
+
+def test_mux_writes_each_file_once_and_in_order(spark):
+    """Keys that begin and end inside Arrow batches, one over several, one null; times come as whole numbers whatever the other files hold."""
+    far = 1_700_000_000_000_000_001
+    rows = [(k, i % 3, i, far + (i * 7919) % 1000, b"%d" % i) for k, n in (("a", 3), ("b", 25_000), (None, 4), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, track long, sequence long, pts_ns long, payload binary").union(spark.createDataFrame([("n", 0, 0, None, b"x")], "key string, track long, sequence long, pts_ns long, payload binary"))
+    text = lambda g: repr([(None if ns is None else int(ns), int(t), int(n), bytes(p)) for ns, t, n, p in zip(g["pts_ns"], g["track"], g["sequence"], g["payload"], strict=True)]).encode()
+    got = {r.key: bytes(r.payload) for r in media.mux(df.repartition(1), "key", text).collect()}
+    want = {}
+    for k, t, n, ns, p in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        want.setdefault(k, []).append((ns, t, n, p))
+    assert got == {k: repr(v).encode() for k, v in want.items()} | {"n": repr([(None, 0, 0, b"x")]).encode()}
+
+
 def test_wav_klv_records_png():
     pcm = np.arange(-50, 51, dtype="<i2").tobytes()
     assert containers.read_wav(containers.write_wav(pcm, 1, 8000)) == (1, 8000, 16, pcm)
